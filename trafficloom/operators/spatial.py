@@ -37,6 +37,8 @@ def candidate_pairs(obs: DataFrame, candidate_distance: float = 30.0) -> DataFra
         ("a_center_x", "a_center_y"),
         ("b_center_x", "b_center_y"),
         candidate_distance,
+        ["a_token"],
+        ["b_token"],
         condition=F.col("a_token") != F.col("b_token"),
     ).withColumnRenamed("distance", "center_distance")
 

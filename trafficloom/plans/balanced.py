@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 CHUNK = 4096
 
 
-def balanced_join(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+def balanced_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_id: Sequence[str],
+    right_id: Sequence[str],
+    chunk: int = CHUNK,
+) -> DataFrame:
     """Inner join on `keys` whose work per (key, left part, right part) is at most about chunk x chunk pairs.
 
     Keys with more than `chunk` rows on a side are cut into parts on that side, and the rows of the other
     side are repeated once per part; every matching pair meets exactly once. The table of cut keys has at
-    most rows/chunk entries and is joined without a hint, so that its real size decides how.
+    most rows/chunk entries and is joined without a hint, so that its real size decides how. The id columns
+    identify a row of their side; a row's part follows from them, so that a recomputed task repeats it.
     """
     keys = list(keys)
     left_sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nl"))
@@ -30,19 +38,17 @@ def balanced_join(left: DataFrame, right: DataFrame, keys: Sequence[str], chunk:
         )
     )
 
-    def spread(side: DataFrame, own: str, other: str, own_parts: str, other_parts: str) -> DataFrame:
-        # The row's own part follows from its content, so that a recomputed task repeats it.
-        content = F.xxhash64(*[c for c in side.columns if c not in keys])
+    def spread(side: DataFrame, ids: Sequence[str], own: str, other: str, own_parts: str, other_parts: str):
         tagged = side.join(parts, keys, "left")
         copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other_parts), F.lit(1)) - 1))
         return tagged.select(
             *side.columns,
-            F.pmod(content, F.coalesce(F.col(own_parts), F.lit(1))).cast("int").alias(own),
+            F.pmod(F.xxhash64(*ids), F.coalesce(F.col(own_parts), F.lit(1))).cast("int").alias(own),
             copies.alias(other),
         )
 
-    spread_left = spread(left, "_i", "_j", "_pl", "_pr")
-    spread_right = spread(right, "_j", "_i", "_pr", "_pl")
+    spread_left = spread(left, left_id, "_i", "_j", "_pl", "_pr")
+    spread_right = spread(right, right_id, "_j", "_i", "_pr", "_pl")
     return spread_left.join(spread_right, [*keys, "_i", "_j"]).drop("_i", "_j")
 
 
@@ -53,6 +59,8 @@ def within_reach(
     left_xy: tuple[str, str],
     right_xy: tuple[str, str],
     reach: float,
+    left_id: Sequence[str],
+    right_id: Sequence[str],
     condition: Column | None = None,
     chunk: int = CHUNK,
 ) -> DataFrame:
@@ -73,7 +81,7 @@ def within_reach(
         "_cy", F.explode(F.sequence(cell(ry - slack), cell(ry + slack)))
     )
     dx, dy = lx - rx, ly - ry
-    met = balanced_join(placed, repeated, [*keys, "_cx", "_cy"], chunk).drop("_cx", "_cy")
+    met = balanced_join(placed, repeated, [*keys, "_cx", "_cy"], left_id, right_id, chunk).drop("_cx", "_cy")
     near = met.withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= reach)
     return near if condition is None else near.where(condition)
 
@@ -85,6 +93,8 @@ def during(
     position: str,
     start: str,
     end: str,
+    point_id: Sequence[str],
+    interval_id: Sequence[str],
     width: int = 64,
     chunk: int = CHUNK,
 ) -> DataFrame:
@@ -97,7 +107,7 @@ def during(
     first, last = F.floor(F.col(start) / width).cast("long"), F.floor(F.col(end) / width).cast("long")
     repeated = intervals.where(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(F.sequence(first, last)))
     return (
-        balanced_join(placed, repeated, [*keys, "_bucket"], chunk)
+        balanced_join(placed, repeated, [*keys, "_bucket"], point_id, interval_id, chunk)
         .where(F.col(position).between(F.col(start), F.col(end)))
         .drop("_bucket")
     )
