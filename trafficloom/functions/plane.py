@@ -23,7 +23,7 @@ def _length(a: Column, b: Column) -> Column:
 def point_segment_distance(p: Column, a: Column, b: Column) -> Column:
     ux, uy = b["x"] - a["x"], b["y"] - a["y"]
     square = ux * ux + uy * uy
-    along = ((p["x"] - a["x"]) * ux + (p["y"] - a["y"]) * uy) / square
+    along = F.when(square > 1e-12, ((p["x"] - a["x"]) * ux + (p["y"] - a["y"]) * uy) / square)
     t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
     dx, dy = p["x"] - (a["x"] + t * ux), p["y"] - (a["y"] + t * uy)
     return F.when(square <= 1e-12, F.sqrt((p["x"] - a["x"]) ** 2 + (p["y"] - a["y"]) ** 2)).otherwise(
@@ -86,7 +86,7 @@ def convex_hull(points: Column) -> Column:
             lambda q: (_length(p, q) > TINY_EDGE) & F.forall(corners, lambda r: _cross(p, q, r) >= -1e-9),
         ),
     )
-    count = F.size(outer)
+    count = F.greatest(F.size(outer), F.lit(1))
     mx = F.aggregate(outer, F.lit(0.0), lambda s, p: s + p["x"]) / count
     my = F.aggregate(outer, F.lit(0.0), lambda s, p: s + p["y"]) / count
     turned = F.array_sort(

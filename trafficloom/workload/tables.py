@@ -209,7 +209,7 @@ def poses(spark: SparkSession, sf: str) -> DataFrame:
             F.col("p.value").alias("x"),
             F.col("p.k").cast("double").alias("y"),
             F.lit(0.0).alias("z"),
-            (F.col("p.k") * F.lit(3.141592653589793) / 50.0).alias("yaw"),
+            (F.col("p.k") * F.lit(3.141592653589793) / 101.0).alias("yaw"),
         )
     )
 
