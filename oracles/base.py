@@ -27,6 +27,7 @@ def sql(body: str, recursive: bool = False) -> str:
             done.append(name)
 
     visit(body, ())
+    recursive = recursive or any(re.search(rf"\b{n}\b", CTES[n]) for n in done)
     body = body.strip()
     parts = [f"{n} AS ({CTES[n]})" for n in done]
     own = re.match(r"WITH\s+(RECURSIVE\s+)?", body)

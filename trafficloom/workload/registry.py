@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("spatial", "tracklet", "association", "timeline")
+_MODULES = ("spatial", "tracklet", "association", "timeline", "index")
 
 
 def all_queries() -> dict[str, Query]:
