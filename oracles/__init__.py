@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("spatial", "tracklet", "association", "timeline", "index", "matching", "evaluation")
+_MODULES = ("spatial", "tracklet", "association", "timeline", "index", "matching", "evaluation", "observation", "review")
 
 
 def all_sql() -> dict[str, str]:

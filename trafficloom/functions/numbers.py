@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -47,3 +47,8 @@ def count_where(condition: Column) -> Column:
 
 def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
+
+
+def field(name: str) -> Callable[[Column], Column]:
+    """Function that takes one field of a struct, for use on arrays of structs."""
+    return lambda value: value[name]

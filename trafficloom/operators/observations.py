@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trafficloom.functions import rigid
 from trafficloom.functions.boxes import CORNERS
-from trafficloom.functions.numbers import add, all_of, count_where, finite
+from trafficloom.functions.numbers import add, all_of, count_where, field, finite
 from trafficloom.functions.plane import convex_hull, point
 from trafficloom.plans.balanced import balanced_join, during
 from trafficloom.plans.ordered import block_scan
@@ -25,13 +25,13 @@ def uniform_subset(df: DataFrame, by: Sequence[str], order: str, maximum: int |
         return df
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     placed = block_scan(df, by, order, sums={"_p": F.lit(1).cast("long")}).join(sizes, list(by))
-    at, last, steps = F.col("_p") - 1, F.col("_n") - 1, maximum - 1
-    # The i-th pick is floor(i * (n-1) / (m-1)); the smallest i that can reach this row decides.
-    i = F.expr(f"((_p - 1) * {steps} + greatest(_n - 1, 1) - 1) div greatest(_n - 1, 1)")
+    steps = maximum - 1
     if steps > 0:
-        picked = (F.col("_n") <= maximum) | (F.floor(i * last / F.lit(steps)).cast("long") == at)
+        # The i-th pick is floor(i * (n-1) / (m-1)); the smallest i that can reach this row decides.
+        i = f"(((_p - 1) * {steps} + greatest(_n - 1, 1) - 1) div greatest(_n - 1, 1))"
+        picked = F.expr(f"_n <= {maximum} OR ({i} * (_n - 1)) div {steps} = _p - 1")
     else:
-        picked = at == 0
+        picked = F.col("_p") == 1
     return placed.where(picked).drop("_p", "_n")
 
 
@@ -81,7 +81,7 @@ def transform_corners(boxes: DataFrame) -> DataFrame:
     count = F.greatest(F.size("corners_ego"), F.lit(1))
     added = {}
     for axis in "xyz":
-        values = F.transform("corners_ego", lambda c, a=axis: c[a])
+        values = F.transform("corners_ego", field(axis))
         added[f"min_{axis}"] = F.array_min(values)
         added[f"max_{axis}"] = F.array_max(values)
         added[f"center_{axis}"] = F.when(
@@ -130,7 +130,7 @@ def project_box(
     enough = F.size("_front") >= 2
 
     def edge(pick, part: str, limit: int) -> Column:
-        value = pick(F.transform("_pixels", lambda q: q[part]))
+        value = pick(F.transform("_pixels", field(part)))
         return F.least(F.greatest(value, F.lit(0.0)), F.lit(float(limit - 1)))
 
     depths = F.array_sort(F.transform("_front", lambda p: p["z"]))

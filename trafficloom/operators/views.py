@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficloom.functions.boxes import has_area
+from trafficloom.functions.numbers import field
 from trafficloom.operators.checks import required
 from trafficloom.params import SPATIAL_PREDICATES
 from trafficloom.plans.ordered import block_scan, running_totals, with_runs
@@ -173,7 +174,7 @@ def frame_document(objects: DataFrame, relations: DataFrame, part_rows: int = 40
         "sequence",
         "frame",
         *[
-            F.transform(f"_{k}", lambda e, c=c: e[c]).alias(n)
+            F.transform(f"_{k}", field(c)).alias(n)
             for k, c, n in (("object", "object", "objects"), ("spatial", "relation", "spatial"), ("temporal", "relation", "temporal"))
         ],
     )

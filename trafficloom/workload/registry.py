@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("spatial", "tracklet", "association", "timeline", "index", "matching", "evaluation")
+_MODULES = ("spatial", "tracklet", "association", "timeline", "index", "matching", "evaluation", "observation", "review")
 
 
 def all_queries() -> dict[str, Query]:
