@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("spatial", "tracklet", "association", "timeline", "index", "matching", "evaluation", "observation", "review")
+_MODULES = (
+    "spatial",
+    "tracklet",
+    "association",
+    "timeline",
+    "index",
+    "matching",
+    "evaluation",
+    "observation",
+    "review",
+    "source",
+)
 
 
 def all_sql() -> dict[str, str]:

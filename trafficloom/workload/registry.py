@@ -9,7 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("spatial", "tracklet", "association", "timeline", "index", "matching", "evaluation", "observation", "review")
+_MODULES = (
+    "spatial",
+    "tracklet",
+    "association",
+    "timeline",
+    "index",
+    "matching",
+    "evaluation",
+    "observation",
+    "review",
+    "source",
+)
 
 
 def all_queries() -> dict[str, Query]:
