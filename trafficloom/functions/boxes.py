@@ -23,7 +23,7 @@ def has_area(box: Column) -> Column:
 
 
 def overlap_over_smaller(a: str, b: str) -> Column:
-    """Intersection of two boxes over the smaller area; 0 when a box is missing or flat."""
+    """Intersection of two boxes over the smaller area; 0 when a box is flat. Missing boxes come as empty ones."""
     ax1, ay1, ax2, ay2 = (F.col(a + c) for c in CORNERS)
     bx1, by1, bx2, by2 = (F.col(b + c) for c in CORNERS)
     zero = F.lit(0.0)
@@ -32,5 +32,4 @@ def overlap_over_smaller(a: str, b: str) -> Column:
     area_a = F.greatest(zero, ax2 - ax1) * F.greatest(zero, ay2 - ay1)
     area_b = F.greatest(zero, bx2 - bx1) * F.greatest(zero, by2 - by1)
     smaller = F.least(area_a, area_b)
-    present = all_of([F.col(p + c).isNotNull() for p in (a, b) for c in CORNERS])
-    return F.when(present & (smaller > 0), width * height / smaller).otherwise(zero)
+    return F.when(smaller > 0, width * height / smaller).otherwise(zero)

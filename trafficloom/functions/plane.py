@@ -31,22 +31,6 @@ def point_segment_distance(p: Column, a: Column, b: Column) -> Column:
     )
 
 
-def segment_distance(a: Column, b: Column, c: Column, d: Column, touching_counts: bool = False) -> Column:
-    """Distance of two segments. With `touching_counts`, zero orientations count as a crossing, so that
-    segments on one line are at distance 0 even when they lie apart."""
-    first = _cross(a, b, c) * _cross(a, b, d)
-    second = _cross(c, d, a) * _cross(c, d, b)
-    crossing = (first <= 0) & (second <= 0) if touching_counts else (first < 0) & (second < 0)
-    return F.when(crossing, F.lit(0.0)).otherwise(
-        F.least(
-            point_segment_distance(a, c, d),
-            point_segment_distance(b, c, d),
-            point_segment_distance(c, a, b),
-            point_segment_distance(d, a, b),
-        )
-    )
-
-
 def segments(line: Column, closed: bool = False) -> Column:
     """Consecutive point pairs of a line, or of a ring when `closed`."""
     count = F.size(line)
@@ -56,24 +40,6 @@ def segments(line: Column, closed: bool = False) -> Column:
     return F.transform(starts, lambda p, i: F.struct(p.alias("a"), F.get(line, i + 1).alias("b")))
 
 
-def polyline_distance(first: Column, second: Column, touching_counts: bool = False) -> Column:
-    """Smallest distance of two open lines; a line of one point counts by its points."""
-    between_points = F.array_min(
-        F.flatten(F.transform(first, lambda p: F.transform(second, lambda q: _length(p, q))))
-    )
-    between_segments = F.array_min(
-        F.flatten(
-            F.transform(
-                segments(first),
-                lambda s: F.transform(
-                    segments(second), lambda t: segment_distance(s["a"], s["b"], t["a"], t["b"], touching_counts)
-                ),
-            )
-        )
-    )
-    return F.when((F.size(first) == 1) | (F.size(second) == 1), between_points).otherwise(between_segments)
-
-
 def convex_hull(points: Column) -> Column:
     """Counter-clockwise hull of a handful of points (the corners of one box)."""
     corners = F.array_distinct(

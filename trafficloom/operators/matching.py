@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficloom.functions.numbers import add, clip, count_where, flag, ratio, sigmoid
-from trafficloom.functions.plane import point, polyline_distance
+from trafficloom.functions.paths import path_distance
 from trafficloom.params import TemporalParams
 from trafficloom.plans.ordered import positions
 from trafficloom.plans.pinning import pin
@@ -402,12 +402,6 @@ def predicted_geometry(rows: DataFrame, params: TemporalParams = TemporalParams(
     norm = _at("_raw", mid)
     apart = norm > 1e-6
 
-    def line(end: str) -> Column:
-        seen = F.zip_with(
-            F.zip_with(f"{end}_xs", f"{end}_ys", lambda x, y: point(x, y)), "used_mask", lambda p, v: F.when(v, p)
-        )
-        return F.filter(seen, lambda p: p.isNotNull())
-
     share = add([v.cast("long") for v in valid]) / float(size)
     measured = {
         "distance_change": d[-1] - d[0],
@@ -422,9 +416,11 @@ def predicted_geometry(rows: DataFrame, params: TemporalParams = TemporalParams(
         "direction_cosine": F.when(both, clip(dot / (c("source_speed") * c("target_speed")), -1.0, 1.0)).otherwise(0.0),
         "middle_distance": d[mid],
         "visible_fraction": share,
-        "path_distance": F.when(both, polyline_distance(line("source"), line("target"), touching_counts=True)).otherwise(0.0),
+        "path_distance": F.when(both, F.col("_path")).otherwise(0.0),
     }
-    return sped.withColumns(measured).drop("_raw", "_first", "_last", "_seconds")
+    # Filled-in steps lie on the paths or repeat their ends, so the filled paths are the observed ones.
+    paths = path_distance("source_xs", "source_ys", "target_xs", "target_ys", touching_counts=True)
+    return sped.withColumn("_path", paths).withColumns(measured).drop("_path", "_raw", "_first", "_last", "_seconds")
 
 
 GEOMETRY = (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficloom.functions.boxes import box_array, overlap_over_smaller
-from trafficloom.functions.numbers import count_where, finite, flag
+from trafficloom.functions.numbers import add, all_of, count_where, finite, flag
 from trafficloom.functions.plane import area, intersection, polygon_distance
 from trafficloom.functions.tokens import stable_token
 from trafficloom.params import ASYMMETRIC_SPATIAL, SPATIAL_PREDICATES, SYMMETRIC_SPATIAL, SpatialParams
@@ -17,16 +17,40 @@ from trafficloom.plans.balanced import within_reach
 # Columns of an observation that the pair needs from both ends.
 _OBJECT = (
     "token instance_token label center_x center_y center_z min_x max_x min_y max_y min_z max_z volume "
-    "x1 y1 x2 y2 depth mask_pixels mask_available supervised_eligible"
+    "x1 y1 x2 y2 box depth mask_pixels mask_available supervised_eligible"
 ).split()
 _SHARED = ("sequence", "raw_frame_index", "filename")
 
 
+_GEOMETRY = [c for c in _OBJECT if c.startswith(("center_", "min_", "max_"))]
+
+
+def _solid(obs: DataFrame) -> DataFrame:
+    """Objects with geometry, every number without null, so that the pair stage needs no null checks.
+
+    A missing image box becomes an empty one at the origin (the array `box` stays null) and a depth that is
+    missing or not finite becomes NaN; both are settled here, once per object and not once per pair.
+    """
+    nan, zero = F.lit(float("nan")), F.lit(0.0)
+    plain = {c: F.coalesce(F.col(c), nan) for c in [*_GEOMETRY, "volume"]}
+    boxes = {c: F.coalesce(F.col(c), zero) for c in ("x1", "y1", "x2", "y2")}
+    rest = {
+        "depth": F.coalesce(F.when(finite(F.col("depth")), F.col("depth")), nan),
+        "mask_pixels": F.coalesce("mask_pixels", F.lit(0)),
+        "mask_available": F.coalesce("mask_available", F.lit(False)),
+        "supervised_eligible": F.coalesce("supervised_eligible", F.lit(False)),
+    }
+    return obs.where(all_of([F.col(c).isNotNull() for c in _GEOMETRY])).withColumn("box", box_array()).withColumns(
+        {**plain, **boxes, **rest}
+    )
+
+
 def candidate_pairs(obs: DataFrame, candidate_distance: float = 30.0) -> DataFrame:
     """Ordered pairs of different objects of one sample, at most `candidate_distance` apart in the plane.
 
     Ends come with prefixes a_ (subject) and b_ (object). A `hull` column, where present, is kept.
     """
+    obs = _solid(obs)
     carried = [c for c in [*_OBJECT, "hull"] if c in obs.columns]
     a = obs.select("sample_token", *_SHARED, *[F.col(c).alias(f"a_{c}") for c in carried])
     b = obs.select("sample_token", *[F.col(c).alias(f"b_{c}") for c in carried])
@@ -130,7 +154,7 @@ def measure_pairs(pairs: DataFrame, params: SpatialParams = SpatialParams(), rot
             "delta_x": F.col("a_center_x") - F.col("b_center_x"),
             "delta_y": F.col("a_center_y") - F.col("b_center_y"),
             "delta_z": F.col("a_center_z") - F.col("b_center_z"),
-            "occlusion_mask_supported": F.coalesce(masked, F.lit(False)),
+            "occlusion_mask_supported": masked,
             "volume_ratio": F.greatest(F.col("a_volume"), small) / F.greatest(F.col("b_volume"), small),
             "height_ratio": F.col("a_height") / F.col("b_height"),
         }
@@ -140,6 +164,7 @@ def measure_pairs(pairs: DataFrame, params: SpatialParams = SpatialParams(), rot
 def label_pairs(pairs: DataFrame, params: SpatialParams = SpatialParams()) -> DataFrame:
     """The five predicates as boolean columns."""
     local = F.col("center_distance") <= params.relation_distance
+    # NaN sorts above all numbers: an unknown depth of the subject never lies in front.
     deeper = F.col("a_depth") + params.occlusion_depth_margin < F.col("b_depth")
     labels = {
         "left_of": local & (F.col("delta_y") > F.col("lateral_margin")),
@@ -149,24 +174,35 @@ def label_pairs(pairs: DataFrame, params: SpatialParams = SpatialParams()) -> Da
         & (F.col("vertical_overlap") >= params.overlap_vertical),
         "occluding": F.col("occlusion_mask_supported")
         & (F.col("image_overlap") >= params.occlusion_overlap)
-        & finite(F.col("a_depth"))
-        & finite(F.col("b_depth"))
+        & ~F.isnan("b_depth")
         & deeper,
     }
-    return pairs.withColumns({name: F.coalesce(rule, F.lit(False)) for name, rule in labels.items()})
+    return pairs.withColumns(labels)
 
 
 def encode_labels(df: DataFrame, predicates: Sequence[str]) -> DataFrame:
-    """`predicate_vector`, `positive_predicates` and `no_relation` from boolean columns."""
-    names = F.array(*[F.when(F.col(p), F.lit(p)) for p in predicates])
-    none = F.lit(True)
-    for p in predicates:
-        none = none & ~F.col(p)
-    return df.withColumns(
+    """`predicate_vector`, `positive_predicates` and `no_relation` from boolean columns.
+
+    Both arrays are looked up in constant tables by the labels' bit pattern: building them row by row would
+    push the generated code of the pair stage over the size the JVM compiles.
+    """
+    patterns = range(1 << len(predicates))
+
+    def table(entry) -> Column:
+        return F.array(*[entry([i for i in range(len(predicates)) if pattern >> i & 1]) for pattern in patterns])
+
+    def vector(chosen: list[int]) -> Column:
+        return F.array(*[F.lit(int(i in chosen)) for i in range(len(predicates))])
+
+    def names(chosen: list[int]) -> Column:
+        return F.array(*[F.lit(predicates[i]) for i in chosen]).cast("array<string>")
+
+    bits = add([F.col(p).cast("int") * (1 << i) for i, p in enumerate(predicates)])
+    return df.withColumn("_bits", bits).withColumns(
         {
-            "predicate_vector": F.array(*[F.col(p).cast("int") for p in predicates]),
-            "positive_predicates": F.filter(names, lambda n: n.isNotNull()),
-            "no_relation": none,
+            "predicate_vector": F.get(table(vector), F.col("_bits")),
+            "positive_predicates": F.get(table(names), F.col("_bits")),
+            "no_relation": F.col("_bits") == 0,
         }
     )
 
@@ -185,8 +221,8 @@ def relations(obs: DataFrame, params: SpatialParams = SpatialParams(), rotated:
         F.col("b_instance_token").alias("object_instance"),
         F.col("a_label").alias("subject_label"),
         F.col("b_label").alias("object_label"),
-        box_array("a_").alias("subject_box"),
-        box_array("b_").alias("object_box"),
+        F.col("a_box").alias("subject_box"),
+        F.col("b_box").alias("object_box"),
         "delta_x",
         "delta_y",
         "delta_z",

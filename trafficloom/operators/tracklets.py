@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trafficloom.functions.boxes import box_array, has_area
 from trafficloom.functions.numbers import add, clip, count_where, flag
-from trafficloom.functions.plane import point, polyline_distance
+from trafficloom.functions.paths import path_distance as _path
 from trafficloom.functions.tokens import stable_token
 from trafficloom.operators.checks import resolve_samples
 from trafficloom.operators.spatial import encode_labels
@@ -175,24 +175,19 @@ def direction_cosine(pairs: DataFrame, params: TemporalParams = TemporalParams()
 def path_distance(pairs: DataFrame, params: TemporalParams = TemporalParams()) -> DataFrame:
     """Smallest distance of the two paths, null unless both objects move."""
 
-    def line(end: str) -> Column:
-        return F.zip_with(f"{end}_xs", f"{end}_ys", lambda x, y: point(x, y))
-
-    return pairs.withColumn(
-        "path_distance", F.when(_both_moving(params), polyline_distance(line("a"), line("b")))
+    return pairs.withColumn("_path", _path("a_xs", "a_ys", "b_xs", "b_ys")).withColumn(
+        "path_distance", F.when(_both_moving(params), F.col("_path"))
     )
 
 
-def visibility(pairs: DataFrame) -> DataFrame:
-    def count(mask: Column) -> Column:
-        return F.aggregate(mask, F.lit(0).cast("long"), lambda s, v: s + v.cast("long"))
-
-    joint = F.zip_with("a_visible", "b_visible", lambda a, b: a & b)
+def visibility(pairs: DataFrame, size: int = 5) -> DataFrame:
+    seen = {e: [F.get(f"{e}_visible", F.lit(i)) for i in range(size)] for e in "ab"}
+    joint = [a & b for a, b in zip(seen["a"], seen["b"])]
     return pairs.withColumns(
         {
-            "subject_visible_steps": count(F.col("a_visible")),
-            "object_visible_steps": count(F.col("b_visible")),
-            "joint_visible_steps": count(joint),
+            "subject_visible_steps": add([flag(v) for v in seen["a"]]),
+            "object_visible_steps": add([flag(v) for v in seen["b"]]),
+            "joint_visible_steps": add([flag(v) for v in joint]),
         }
     )
 
@@ -213,7 +208,7 @@ def review_eligibility(pairs: DataFrame, params: TemporalParams = TemporalParams
 
 def measure_pairs(pairs: DataFrame, params: TemporalParams = TemporalParams()) -> DataFrame:
     measured = path_distance(direction_cosine(radial_speed(distance_trend(pairs, params)), params), params)
-    return review_eligibility(visibility(measured), params)
+    return review_eligibility(visibility(measured, params.window_size), params)
 
 
 def label_pairs(pairs: DataFrame, params: TemporalParams = TemporalParams(), rules: str = "directed") -> DataFrame:
