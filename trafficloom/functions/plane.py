@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trafficloom.functions.rigid import let
+
 TINY_EDGE = 1e-6
 
 
@@ -42,23 +44,38 @@ def segments(line: Column, closed: bool = False) -> Column:
 
 def convex_hull(points: Column) -> Column:
     """Counter-clockwise hull of a handful of points (the corners of one box)."""
-    corners = F.array_distinct(
-        F.transform(points, lambda p: point(F.round(p["x"], 9) + 0.0, F.round(p["y"], 9) + 0.0))
-    )
-    outer = F.filter(
-        corners,
-        lambda p: F.exists(
+
+    def apart(given: Column) -> Column:
+        """Points without those that repeat an earlier one."""
+        return F.filter(
+            given, lambda p, i: ~F.exists(F.slice(given, 1, i), lambda q: _length(p, q) <= TINY_EDGE)
+        )
+
+    def outer(corners: Column) -> Column:
+        """Points that start a hull edge: from them, some other point has all points on its left."""
+        return F.filter(
             corners,
-            lambda q: (_length(p, q) > TINY_EDGE) & F.forall(corners, lambda r: _cross(p, q, r) >= -1e-9),
-        ),
-    )
-    count = F.greatest(F.size(outer), F.lit(1))
-    mx = F.aggregate(outer, F.lit(0.0), lambda s, p: s + p["x"]) / count
-    my = F.aggregate(outer, F.lit(0.0), lambda s, p: s + p["y"]) / count
-    turned = F.array_sort(
-        F.transform(outer, lambda p: F.struct(F.atan2(p["y"] - my, p["x"] - mx).alias("t"), p.alias("p")))
-    )
-    return F.transform(turned, lambda v: v["p"])
+            lambda p: F.exists(
+                corners,
+                lambda q: (_length(p, q) > TINY_EDGE) & F.forall(corners, lambda r: _cross(p, q, r) >= -1e-9),
+            ),
+        )
+
+    def around(ring: Column) -> Column:
+        count = F.greatest(F.size(ring), F.lit(1))
+        middle = point(
+            F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["x"]) / count,
+            F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["y"]) / count,
+        )
+        turned = let(
+            middle,
+            lambda m: F.transform(
+                ring, lambda p: F.struct(F.atan2(p["y"] - m["y"], p["x"] - m["x"]).alias("t"), p.alias("p"))
+            ),
+        )
+        return F.transform(F.array_sort(turned), lambda v: v["p"])
+
+    return let(points, lambda given: let(apart(given), lambda corners: let(outer(corners), around)))
 
 
 def area(polygon: Column) -> Column:
