@@ -37,7 +37,7 @@ def _draw(seed: int) -> list[Column]:
 def sample_spatial(rels: DataFrame, count: int, no_relation_count: int, seed: int = 42) -> DataFrame:
     """`count` random relations per predicate and `no_relation_count` without any, both boxes visible."""
     eligible = rels.where(
-        F.col("supervised_eligible") & has_area(F.col("subject_box")) & has_area(F.col("object_box"))
+        F.col("supervised_eligible") & F.col("subject_visible") & F.col("object_visible")
     )
     sizes = {**{p: count for p in SPATIAL_PREDICATES}, NO_RELATION: no_relation_count}
     return _first(_by_predicate(eligible, list(sizes)), sizes, _draw(seed))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficloom.functions.boxes import box_array, overlap_over_smaller
+from trafficloom.functions.boxes import box_array, has_area, overlap_over_smaller
 from trafficloom.functions.numbers import add, all_of, count_where, finite, flag
 from trafficloom.functions.plane import area, intersection, polygon_distance
 from trafficloom.functions.tokens import stable_token
@@ -17,7 +17,7 @@ from trafficloom.plans.balanced import within_reach
 # Columns of an observation that the pair needs from both ends.
 _OBJECT = (
     "token instance_token label center_x center_y center_z min_x max_x min_y max_y min_z max_z volume "
-    "x1 y1 x2 y2 box depth mask_pixels mask_available supervised_eligible"
+    "x1 y1 x2 y2 box visible depth mask_pixels mask_available supervised_eligible"
 ).split()
 _SHARED = ("sequence", "raw_frame_index", "filename")
 
@@ -41,7 +41,7 @@ def _solid(obs: DataFrame) -> DataFrame:
         "supervised_eligible": F.coalesce("supervised_eligible", F.lit(False)),
     }
     return obs.where(all_of([F.col(c).isNotNull() for c in _GEOMETRY])).withColumn("box", box_array()).withColumns(
-        {**plain, **boxes, **rest}
+        {**plain, **boxes, **rest, "visible": has_area(F.col("box"))}
     )
 
 
@@ -223,6 +223,8 @@ def relations(obs: DataFrame, params: SpatialParams = SpatialParams(), rotated:
         F.col("b_label").alias("object_label"),
         F.col("a_box").alias("subject_box"),
         F.col("b_box").alias("object_box"),
+        F.col("a_visible").alias("subject_visible"),
+        F.col("b_visible").alias("object_visible"),
         "delta_x",
         "delta_y",
         "delta_z",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficloom.functions.boxes import has_area
-from trafficloom.functions.numbers import field
+from trafficloom.functions.numbers import add, field, flag
 from trafficloom.operators.checks import required
 from trafficloom.params import SPATIAL_PREDICATES
 from trafficloom.plans.ordered import block_scan, running_totals, with_runs
@@ -22,8 +22,8 @@ def _labels(allowed: Sequence[str]) -> Column:
 
 def frame_support(rels: DataFrame, predicates: Sequence[str] = SPATIAL_PREDICATES) -> DataFrame:
     """Score of a frame: its labels, doubled where both boxes are visible; 0 for frames without labels."""
-    both = has_area(F.col("subject_box")) & has_area(F.col("object_box"))
-    points = F.size(_labels(predicates)) * F.when(both, 2).otherwise(1)
+    both = F.col("subject_visible") & F.col("object_visible")
+    points = add([flag(F.col(p)) for p in predicates]) * F.when(both, 2).otherwise(1)
     return rels.groupBy("sequence", F.col("raw_frame_index").alias("frame")).agg(
         F.sum(points).alias("score"), F.min("filename").alias("filename")
     )
