@@ -9,7 +9,7 @@ from trafficloom.operators import relation_index as ri
 from trafficloom.params import SPATIAL_PREDICATES, TEMPORAL_PREDICATES
 from trafficloom.plans.pinning import pin
 from trafficloom.workload import association_queries, spatial_queries, tables, tracklet_queries
-from trafficloom.workload.common import joined, r6, registry, rounded
+from trafficloom.workload.common import joined, registry, rounded
 
 QUERIES, query = registry()
 
