@@ -7,18 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficloom.llm import chat, exact, licenses
+from trafficloom.llm import bpe, chat, exact, licenses, packing, token_counts
 from trafficloom.llm.texts import table
+from trafficloom.plans.pinning import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+END_OF_DOCUMENT = 50256
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files that are written from the documents."""
+    stored = scratch_path(spark, "token-files")
+    files = token_counts.token_blocks(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), END_OF_DOCUMENT)
+    files.write.option("compression", "zstd").parquet(stored)
+    written = spark.read.schema(files.schema).parquet(stored)
+    blocks = written.where("tokens IS NOT NULL").select("file", "block", "tokens")
+    listed = written.where("tokens IS NULL").select("file", "first_doc", F.posexplode("doc_ids").alias("k", "doc_id"))
+    counted = token_counts.count_tokens(blocks, END_OF_DOCUMENT)
+    named = listed.select("file", (F.col("first_doc") + F.col("k")).alias("doc_no"), "doc_id")
+    return counted.join(named, ["file", "doc_no"]).select("doc_id", "n_tokens", "terminated")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("source")
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts hold the control strings themselves."""
     extra = spark.range(2).select(
@@ -36,7 +66,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op4_exact_dedup, op9_chat_formatting, op10_license_scan)}
+    found = (
+        op2_bpe,
+        op3_token_counts,
+        op4_exact_dedup,
+        op7_packing,
+        op9_chat_formatting,
+        op10_license_scan,
+    )
+    return {q.__name__: q for q in found}
 
 
 _OP4 = """
