@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficloom.llm import bpe, chat, exact, licenses, packing, token_counts
+from trafficloom.llm import bpe, chat, exact, licenses, packing, simhash, token_counts
 from trafficloom.llm.texts import table
 from trafficloom.plans.pinning import scratch_path
 
@@ -24,6 +24,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -67,6 +71,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (
+        op1_simhash,
         op2_bpe,
         op3_token_counts,
         op4_exact_dedup,
