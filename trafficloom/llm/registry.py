@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficloom.llm import bpe, chat, exact, licenses, packing, simhash, token_counts
+from trafficloom.llm import bpe, chat, embeddings, exact, licenses, packing, simhash, token_counts
 from trafficloom.llm.texts import table
 from trafficloom.plans.pinning import scratch_path
 
@@ -49,6 +49,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("source")
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Query]:
         op2_bpe,
         op3_token_counts,
         op4_exact_dedup,
+        op6_embedding_near_dedup,
         op7_packing,
         op9_chat_formatting,
         op10_license_scan,
