@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficloom.llm import bpe, chat, embeddings, exact, licenses, packing, simhash, token_counts
+from trafficloom.llm import bpe, chat, embeddings, exact, licenses, packing, repeats, simhash, token_counts, toxicity
 from trafficloom.llm.texts import table
 from trafficloom.plans.pinning import scratch_path
 
@@ -49,6 +49,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -57,6 +62,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("source")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts hold the control strings themselves."""
     extra = spark.range(2).select(
@@ -79,8 +88,10 @@ def queries() -> dict[str, Query]:
         op2_bpe,
         op3_token_counts,
         op4_exact_dedup,
+        op5_toxicity,
         op6_embedding_near_dedup,
         op7_packing,
+        op8_repeats,
         op9_chat_formatting,
         op10_license_scan,
     )
