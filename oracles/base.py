@@ -56,7 +56,7 @@ cte(
 SELECT event_id, user_id, event_type, value, CAST(round(value*100) AS BIGINT) AS cents,
        CAST(props->>'k' AS BIGINT) AS k,
        CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS day,
-       user_id % 5 AS sequence,
+       user_id % 5 + 5 * (user_id // 50) AS sequence,
        CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT)*8 + hour(ts)//3 AS frame,
        (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) * 1000 AS time_ns
 FROM events""",

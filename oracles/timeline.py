@@ -188,9 +188,16 @@ LEFT JOIN (SELECT sequence, sum(frames) AS accepted_raw_frames, count(*) AS scen
   arg_max(token, clip_index) AS last_scene_token FROM scn GROUP BY 1) s USING (sequence)"""
     ),
     "tl_manifest_hash": sql(
-        """SELECT c.sequence, sha256(string_agg(c.path || '|' || c.size, '' ORDER BY c.frame,
-  CASE c.channel WHEN 'CAM0' THEN 0 WHEN 'CAM1' THEN 1 WHEN 'LIDAR_TOP' THEN 2 WHEN 'SEMANTIC_CAM0' THEN 3 ELSE 4 END)) AS manifest_sha256
-FROM chan c JOIN clf f ON f.sequence = c.sequence AND f.frame = c.frame GROUP BY c.sequence"""
+        """WITH t1 AS (SELECT c.sequence, c.frame >> 13 AS node, sha256(string_agg(c.path || '|' || c.size, '' ORDER BY c.frame,
+  CASE c.channel WHEN 'CAM0' THEN 0 WHEN 'CAM1' THEN 1 WHEN 'LIDAR_TOP' THEN 2 WHEN 'SEMANTIC_CAM0' THEN 3 ELSE 4 END)) AS t
+  FROM chan c JOIN clf f ON f.sequence = c.sequence AND f.frame = c.frame GROUP BY ALL),
+"""
+        + ",\n".join(
+            f"t{n + 1} AS (SELECT sequence, p.node >> 13 AS node, sha256(string_agg(t, '' ORDER BY p.node)) AS t FROM t{n} p GROUP BY ALL)"
+            for n in range(1, 5)
+        )
+        + """
+SELECT sequence, sha256(string_agg(t, '' ORDER BY node)) AS manifest_sha256 FROM t5 GROUP BY sequence"""
     ),
     "tl_validate": sql(
         """WITH d_scn AS (SELECT * FROM scn WHERE clip_index <> 1),

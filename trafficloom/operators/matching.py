@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from trafficloom.functions.numbers import add, clip, count_where, flag, ratio, sigmoid
 from trafficloom.functions.paths import path_distance
 from trafficloom.params import TemporalParams
+from trafficloom.plans.components import components as connected
 from trafficloom.plans.ordered import positions
 from trafficloom.plans.pinning import pin
 
 MISSING = -1
-MAX_ROUNDS = 200
 
 
 def _best(scores: DataFrame, everyone: DataFrame, keys: Sequence[str], own: str, other: str) -> DataFrame:
@@ -69,60 +69,19 @@ def link_checks(links: DataFrame, rows: DataFrame) -> DataFrame:
     return counted.unpivot([], counted.columns, "rule", "violations")
 
 
-def _chain_heads(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(row, head) where no row has two links in or two links out: pointers double until they reach the head."""
-    before = links.select(F.col("target").alias("row"), F.col("source").alias("up"))
-    state = pin(rows.join(before, "row", "left").select("row", F.coalesce("up", "row").alias("up")))
-    for _ in range(MAX_ROUNDS):
-        above = state.select(F.col("row").alias("up"), F.col("up").alias("_top"))
-        moved = pin(state.join(above, "up").select("row", F.col("_top").alias("up"), (F.col("_top") != F.col("up")).alias("_moved")))
-        state = moved.select("row", "up")
-        if moved.where("_moved").isEmpty():
-            return state.withColumnRenamed("up", "head")
-    raise RuntimeError("links run in a circle")
-
-
-def _smallest_labels(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(row, head) for any links: every row takes the smallest label around it, then its label's label."""
-    edges = pin(
-        links.select(F.col("source").alias("row"), F.col("target").alias("other"))
-        .union(links.select("target", "source"))
-        .distinct()
-    )
-    state = pin(rows.select("row", F.col("row").alias("head")))
-    for _ in range(MAX_ROUNDS):
-        labels = state.select(F.col("row").alias("other"), F.col("head").alias("label"))
-        around = edges.join(labels, "other").groupBy("row").agg(F.min("label").alias("label"))
-        lower = state.join(around, "row", "left").select(
-            "row", F.least("head", F.coalesce("label", "head")).alias("_new"), F.col("head").alias("_old")
-        )
-        jump = state.select(F.col("row").alias("_new"), F.col("head").alias("_jump"))
-        after = pin(
-            lower.join(jump, "_new").select(
-                "row", F.least("_new", "_jump").alias("head"), (F.least("_new", "_jump") != F.col("_old")).alias("_moved")
-            )
-        )
-        state = after.select("row", "head")
-        if after.where("_moved").isEmpty():
-            return state
-    raise RuntimeError("labels did not settle")
-
-
 def components(rows: DataFrame, links: DataFrame) -> DataFrame:
     """(row, track_id) for rows with `eligible`; other rows get -1.
 
-    Track ids are dense and follow the smallest row of each track. One-to-one links form chains, which
-    pointer doubling settles in a few rounds; anything else goes through label propagation.
+    Track ids are dense and follow the smallest row of each track. Links may form chains, rings or anything else.
     """
     members = rows.where("eligible").select("row")
     known = links.select("source", "target").distinct()
     for end in ("source", "target"):
         known = known.join(members.withColumnRenamed("row", end), end, "left_semi")
-    pairs = pin(known)
-    out = pairs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    into = pairs.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
-    chains = out.select("n").union(into.select("n")).where("n > 1").isEmpty()
-    headed = _chain_heads(members, pairs) if chains else _smallest_labels(members, pairs)
+    found = connected(known, "source", "target")
+    headed = members.join(found, F.col("row") == F.col("node"), "left").select(
+        "row", F.coalesce("component", "row").alias("head")
+    )
     smallest = headed.groupBy("head").agg(F.min("row").alias("_first"))
     numbered = positions(smallest, [F.col("_first")], "track_id").drop("_first")
     return rows.select("row").join(headed.join(numbered, "head").select("row", "track_id"), "row", "left").withColumn(

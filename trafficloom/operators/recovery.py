@@ -13,7 +13,6 @@ from trafficloom.operators import matching
 from trafficloom.plans.pinning import pin
 
 MODES = ("one_way", "all")
-MAX_ROUNDS = 10_000
 
 
 def margins(scores: DataFrame) -> DataFrame:
@@ -58,29 +57,30 @@ def greedy_links(candidates: DataFrame, keys: Sequence[str] = ("sequence", "grou
 
     That order is strict, so a pair that comes first for its source and for its target is chosen whatever
     happens elsewhere. Every round takes all such pairs of all groups at once and drops the pairs that touch
-    them, which gives the sequential result without ordering a group in one task.
+    them, which gives the sequential result without ordering a group in one task. A round with open pairs takes at
+    least one of them, so the rounds end by themselves; taken and open pairs are one table, which only shrinks.
     """
     keys = list(keys)
     columns = candidates.columns
     place = F.struct((-F.col("margin")).alias("m"), (-F.col("score")).alias("s"), "source", "target")
-    remaining = pin(candidates)
-    accepted: list[DataFrame] = []
-    for _ in range(MAX_ROUNDS):
+    state = pin(candidates.withColumn("_taken", F.lit(False)))
+    while True:
+        remaining = state.where("NOT _taken")
+        if remaining.isEmpty():
+            return state.select(*columns)
         first_of_source = remaining.groupBy(*keys, "source").agg(F.min(place).alias("_p"))
         first_of_target = remaining.groupBy(*keys, "target").agg(F.min(place).alias("_p"))
         agreed = first_of_source.select(*keys, "source", F.col("_p.target").alias("target")).join(
             first_of_target.select(*keys, "target", F.col("_p.source").alias("source")), [*keys, "source", "target"]
         )
-        taken = pin(remaining.join(agreed, [*keys, "source", "target"]).select(*columns))
-        accepted.append(taken)
-        remaining = pin(
-            remaining.join(taken.select(*keys, "source"), [*keys, "source"], "left_anti").join(
-                taken.select(*keys, "target"), [*keys, "target"], "left_anti"
-            )
+        by_source = agreed.select(*keys, "source", F.col("target").alias("_partner"))
+        by_target = agreed.select(*keys, "target", F.lit(True).alias("_used"))
+        told = state.join(by_source, [*keys, "source"], "left").join(by_target, [*keys, "target"], "left")
+        now = F.coalesce(F.col("_partner") == F.col("target"), F.lit(False))
+        touched = F.col("_partner").isNotNull() | F.col("_used").isNotNull()
+        state = pin(
+            told.where(F.col("_taken") | now | ~touched).select(*columns, (F.col("_taken") | now).alias("_taken"))
         )
-        if remaining.isEmpty():
-            return reduce(DataFrame.unionByName, accepted)
-    raise RuntimeError("greedy choice did not end")
 
 
 def _as_links(pairs: DataFrame, keys: Sequence[str], fallback: bool) -> DataFrame:

@@ -139,9 +139,16 @@ def packages(reviews: DataFrame, expected: int = 9) -> DataFrame:
     )
 
 
-def agreement_items(reviews: DataFrame, reviewers: int = 3) -> DataFrame:
-    """Per item: whether all reviewers decided, and whether they agree. A reviewer's last decision counts once."""
-    decided = reviews.groupBy("kind", "relation_id").agg(
+def agreement_items(reviews: DataFrame, reviewers: int = 3, order: str = "order") -> DataFrame:
+    """Per item: whether all reviewers decided, and whether they agree.
+
+    Of a reviewer's records of an item the last by `order` counts, if it takes a decision back as well. Of records with the
+    same place the one with the larger decision counts.
+    """
+    place = F.struct(order, F.col("decision").isNotNull(), F.col("decision").cast("string"))
+    last = reviews.groupBy("kind", "relation_id", "reviewer").agg(F.max_by(F.struct("decision"), place).alias("_last"))
+    latest = last.select("kind", "relation_id", "reviewer", "_last.decision")
+    decided = latest.groupBy("kind", "relation_id").agg(
         F.countDistinct("reviewer").alias("_reviewers"),
         count_where(F.col("decision").isNull()).alias("_pending"),
         F.countDistinct("decision").alias("_decisions"),
@@ -152,8 +159,8 @@ def agreement_items(reviews: DataFrame, reviewers: int = 3) -> DataFrame:
     )
 
 
-def agreement(reviews: DataFrame, reviewers: int = 3) -> DataFrame:
-    items = agreement_items(reviews, reviewers)
+def agreement(reviews: DataFrame, reviewers: int = 3, order: str = "order") -> DataFrame:
+    items = agreement_items(reviews, reviewers, order)
     counted = items.agg(
         F.count(F.lit(1)).alias("items_found"),
         count_where(F.col("complete")).alias("items_reviewed_by_all"),

@@ -442,33 +442,29 @@ def log_summary(frames: DataFrame, scenes: DataFrame) -> DataFrame:
     )
 
 
-def manifest_hash(files: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """SHA-256 per sequence over the `path|size` entries in (frame, channel) order.
+def manifest_hash(files: DataFrame, bits: int = 13) -> DataFrame:
+    """Tree digest per sequence over the `path|size` entries in (frame, channel) order.
 
-    Entries are hashed per block of frames, and the blocks' digests again in blocks, so that no task gets a
-    whole sequence; a lone block passes its digest on, which is then the digest of the plain concatenation.
+    A leaf is the SHA-256 of the entries of 2^bits frames, a node the SHA-256 of the hex digests of 2^bits children in
+    order, and the root the SHA-256 of the nodes left when all bits of a frame number are used up. Every level is
+    always built, so the value is defined alike at any length and no row holds a whole sequence. It is not the
+    digest of the plain concatenation.
     """
     rank = F.create_map(*[F.lit(v) for i, c in enumerate(CHANNELS) for v in (c, i)])
     entry = F.concat_ws("|", "path", F.col("size").cast("string"))
-    level = files.select("sequence", F.expr(f"frame div {block}").alias("_at"), "frame", rank[F.col("channel")].alias("_r"), entry.alias("_t"))
 
-    def folded(rows: DataFrame, order: list[Column]) -> DataFrame:
-        texts = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("_t")))), lambda s: s["_t"])
-        return rows.groupBy("sequence", "_at").agg(texts.alias("_texts"))
+    def folded(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("_from", "_r", "_t"))), lambda s: s["_t"])
+        return rows.groupBy(*by).agg(F.sha2(F.array_join(texts, ""), 256).alias("_t"))
 
-    first = folded(level, [F.col("frame"), F.col("_r")]).select(
-        "sequence", "_at", F.sha2(F.array_join("_texts", ""), 256).alias("_t")
+    level = files.select(
+        "sequence", F.col("frame").cast("long").alias("_from"), rank[F.col("channel")].alias("_r"), entry.alias("_t")
     )
-    for _ in range(2):
-        upper = first.withColumn("_from", F.col("_at")).withColumn("_at", F.expr(f"_at div {block}"))
-        first = folded(upper, [F.col("_from")]).select(
-            "sequence",
-            "_at",
-            F.when(F.size("_texts") == 1, F.get("_texts", F.lit(0)))
-            .otherwise(F.sha2(F.array_join("_texts", ""), 256))
-            .alias("_t"),
+    for _ in range(-(-64 // bits)):
+        level = folded(level.withColumn("_at", F.shiftright("_from", bits)), ["sequence", "_at"]).select(
+            "sequence", F.col("_at").alias("_from"), F.lit(0).alias("_r"), "_t"
         )
-    return first.select("sequence", F.col("_t").alias("manifest_sha256"))
+    return folded(level, ["sequence"]).select("sequence", F.col("_t").alias("manifest_sha256"))
 
 
 def _rule(name: str, violations: DataFrame) -> DataFrame:

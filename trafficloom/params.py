@@ -55,33 +55,3 @@ class TemporalParams:
     crossing_max_cosine: float = 0.50
     crossing_path_distance: float = 2.0
     minimum_joint_visible_steps: int = 3
-
-# Object classes in label-id order.
-OBJECT_CLASSES = (
-    "building",
-    "garage",
-    "car",
-    "truck",
-    "trailer",
-    "caravan",
-    "motorcycle",
-    "bicycle",
-    "pedestrian",
-    "rider",
-    "bigPole",
-    "smallPole",
-    "trafficLight",
-    "trafficSign",
-    "lamp",
-    "trashbin",
-    "vendingmachine",
-    "box",
-    "stop",
-    "bridge",
-    "tunnel",
-    "train",
-    "bus",
-    "unknownConstruction",
-    "unknownVehicle",
-    "unknownObject",
-)

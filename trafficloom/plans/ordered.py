@@ -65,24 +65,26 @@ def block_scan(
 
     over = Window.partitionBy(*(by or [F.lit(0)])).orderBy(_PIECE)
     before = over.rowsBetween(Window.unboundedPreceding, -1)
-    after = over.rowsBetween(1, Window.unboundedFollowing)
+    # what follows is what precedes in the opposite order; a frame that runs to the end would be scanned anew per row
+    backwards = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(_PIECE))
+    after = backwards.rowsBetween(Window.unboundedPreceding, -1)
     carried = pieces.select(
         *keys,
         *[F.sum(f"_s_{n}").over(before).alias(f"_s_{n}") for n in sums],
         *[F.lag(f"_g_{n}").over(over).alias(f"_g_{n}") for n in lags],
         *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_l_{n}") for n in lasts],
-        *[F.first(f"_n_{n}", ignorenulls=True).over(after).alias(f"_n_{n}") for n in nexts],
+        *[F.last(f"_n_{n}", ignorenulls=True).over(after).alias(f"_n_{n}") for n in nexts],
     )
 
     inside = Window.partitionBy(*keys).orderBy(position)
     upto = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = inside.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    onward = Window.partitionBy(*keys).orderBy(F.desc(position)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     local = cut.select(
         "*",
         *[F.sum(e).over(upto).alias(f"_ls_{n}") for n, e in sums.items()],
         *[F.lag(F.struct(e.alias("v"))).over(inside).alias(f"_lg_{n}") for n, e in lags.items()],
         *[F.last(e, ignorenulls=True).over(upto).alias(f"_ll_{n}") for n, e in lasts.items()],
-        *[F.first(e, ignorenulls=True).over(onward).alias(f"_ln_{n}") for n, e in nexts.items()],
+        *[F.last(e, ignorenulls=True).over(onward).alias(f"_ln_{n}") for n, e in nexts.items()],
     )
     joined = _join_on(local, carried, keys)
     return joined.select(

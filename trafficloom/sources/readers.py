@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,11 +21,12 @@ SPLITS = ("train", "validation", "test")
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, length) of all files below a folder; the files' content is not read. Empty for a missing folder."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(folder):
+    try:
+        return reader.load(root).select("path", "length")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "path string, length long")
-    return reader.load(root).select("path", "length")
 
 
 def file_index(files: DataFrame) -> DataFrame:
@@ -117,17 +123,38 @@ _BOX = T.StructType(
 )
 
 
+_FIELDS = {f.name for f in _BOX.fields}
+
+
+def _box_children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The children of each document's root that are boxes, cut down to the known fields, in one tag."""
+    for batch in batches:
+        for path, text in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            orders, boxes = [], []
+            for order, child in enumerate(ElementTree.fromstring(text) if text and text.strip() else ()):
+                if child.find("transform") is None or child.find("vertices") is None:
+                    continue
+                box = ElementTree.Element("box")
+                # the first of several fields of one name counts
+                box.extend({field.tag: field for field in reversed(child) if field.tag in _FIELDS}.values())
+                orders.append(order)
+                boxes.append(ElementTree.tostring(box, encoding="unicode"))
+            columns = [pa.array([path] * len(boxes), pa.string()), pa.array(orders, pa.int32()), pa.array(boxes, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "document_order", "_xml"])
+
+
 def boxes_xml(documents: DataFrame, value: str = "value") -> DataFrame:
     """Box records from XML documents, one document per row with its `path`.
 
-    Children of the root may have any tag; those with a transform and vertices are boxes. Numbers that are
-    missing or unreadable take their defaults, a matrix whose size does not fit its data drops the box.
+    Children of the root may have any tag, attributes and nested elements; those with a transform and vertices of their
+    own are boxes. Numbers that are missing or unreadable take their defaults, a matrix whose size does not fit its
+    data drops the box. A document that is not well-formed fails the job.
     """
-    body = F.regexp_replace(value, r"(?s)^\s*(<\?.*?\?>)?\s*<[^>]+>", "")
-    blocks = F.regexp_extract_all(body, F.lit(r"(?s)<(\w+)>.*?</\1>"), F.lit(0))
-    children = documents.select("path", F.posexplode(blocks).alias("document_order", "_xml"))
-    boxed = children.where(F.col("_xml").contains("<transform") & F.col("_xml").contains("<vertices"))
-    parsed = boxed.withColumn("b", F.from_xml("_xml", _BOX))
+    parsed = (
+        documents.select("path", F.col(value).alias("value"))
+        .mapInArrow(_box_children, "path string, document_order int, _xml string")
+        .withColumn("b", F.from_xml("_xml", _BOX, {"mode": "FAILFAST"}))
+    )
 
     def numbers(name: str) -> Column:
         values = _numbers(F.col(f"b.{name}.data"))
@@ -197,11 +224,11 @@ def split_json(documents: DataFrame, value: str = "value") -> DataFrame:
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True) -> DataFrame:
-    """Records of JSON arrays; anything in an array that is no object is left out.
+    """Records of JSON arrays; an entry that is no object or an array that is cut off fails the job.
 
     `multi_line` reads one array per file; without it every line holds an array or a record, and files are split.
     """
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path, multiLine=multi_line)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=multi_line)
 
 
 def lidar_points(spark: SparkSession, root: str, pattern: str = "*.bin") -> DataFrame:

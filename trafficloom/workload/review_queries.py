@@ -114,7 +114,7 @@ def rv_packages(spark, sf):
 
 @query
 def rv_agreement(spark, sf):
-    """Three reviewers of every document: two copy its labels, one looks at its number."""
+    """Three reviewers of every document: two copy its labels, one looks at its number; some decided otherwise before."""
     labels = tables.read(spark, sf, "labels")
     template = (
         tables.read(spark, sf, "documents")
@@ -128,7 +128,12 @@ def rv_agreement(spark, sf):
         .when(F.col("reviewer") == "member_2", F.col("toxic") == 0)
         .otherwise(F.col("doc_id") % 2 == 1)
     )
-    given = copies.select(F.col("doc_id").alias("relation_id"), "kind", "reviewer", decision.alias("decision"))
+    final = copies.select(
+        F.col("doc_id").alias("relation_id"), "kind", "reviewer", decision.alias("decision"), F.lit(2).alias("order")
+    )
+    earlier = final.where("relation_id % 3 = 0").withColumns({"decision": ~F.col("decision"), "order": F.lit(1)})
+    withdrawn = final.where("relation_id % 5 = 0").withColumns({"decision": F.lit(None).cast("boolean"), "order": F.lit(0)})
+    given = final.unionByName(earlier).unionByName(withdrawn)
     result = review.agreement(given, 3)
     return result.withColumn("unanimous_percent", F.round("unanimous_percent", 6) + 0.0)
 

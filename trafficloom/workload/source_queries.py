@@ -100,19 +100,19 @@ def _matrix_xml(name: str, rows: int, cols: int, data: Column) -> Column:
 
 @query
 def src_boxes_xml(spark, sf):
-    """Boxes of every user and day as XML children of changing tags; users of one class write broken matrices."""
+    """Boxes of every user and day as XML children of changing tags with attributes and comments; users of one class write broken matrices."""
     n = F.col("raw_frame_index")
     corners = " ".join(f"{x} {y} {z}" for x in (-0.5, 0.5) for y in (-0.5, 0.5) for z in (-0.5, 0.5))
     numbers = F.when(F.col("user_id") % 11 == 0, F.lit("1 2 3")).otherwise(
         _words(F.lit("1 0 0"), F.col("center_x").cast("string"), F.lit("0 1 0"), F.col("center_y").cast("string"), F.lit("0 0 1 0 0 0 0 1"))
     )
-    tag = F.concat(F.lit("object"), F.col("user_id"), F.lit("_"), n)
+    tag = F.concat(F.lit("object-"), F.col("user_id"), F.lit("."), n)
 
     def field(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"<{name}>"), value.cast("string"), F.lit(f"</{name}>"))
 
     child = F.concat(
-        F.lit("<"), tag, F.lit(">"),
+        F.lit("<"), tag, F.lit(' kind="box &gt; 0"><!-- <object><transform/><vertices/></object> -->'),
         field("index", F.col("user_id")),
         F.when(F.col("label") != "unknown", field("label", F.col("label"))).otherwise(F.lit("")),
         field("semanticId", F.col("semantic_id")),

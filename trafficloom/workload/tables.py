@@ -1,6 +1,6 @@
 """The given tables seen as domain tables (observations, frames, poses, predictions, reviews).
 
-Day = sample, three-hour bucket = frame, user = object; sequence = user_id % 5. Sums are taken over whole
+Day = sample, three-hour bucket = frame, user = object; five sequences per 50 users, so that sequences grow with the users and samples do not. Sums are taken over whole
 cents, so that no result depends on the order of a floating-point sum.
 """
 
@@ -39,7 +39,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.col("value") * 100).cast("long").alias("cents"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),
         day.alias("day"),
-        F.expr("user_id % 5").alias("sequence"),
+        F.expr("user_id % 5 + 5 * (user_id div 50)").alias("sequence"),
         (day * 8 + F.floor(F.hour(ts) / 3)).cast("long").alias("frame"),
         (micros * 1000).alias("time_ns"),
     )
