@@ -27,7 +27,7 @@ FROM obs WHERE user_id % 11 <> 0"""
     "src_lidar_bin": sql(
         """SELECT point_id AS event_id, round(x::FLOAT::DOUBLE, 3) + 0.0 AS x, round(y::FLOAT::DOUBLE, 3) + 0.0 AS y, z, (point_id % 7)::DOUBLE AS intensity FROM pts"""
     ),
-    "sink_tables": sql(f"SELECT sequence, label, count(*) AS rows, {r6('sum(volume)', 'volume')} FROM obs GROUP BY ALL"),
+    "sink_tables": sql(f"SELECT sequence, label, count(*) AS rows, {r6('sum(volume)', 'volume')} FROM obs GROUP BY ALL UNION ALL SELECT sequence, '(samples)', count(*), 0.0 FROM smp GROUP BY sequence"),
     "sink_json_records": sql(
         f"""SELECT token, sequence, {r6('CASE WHEN x1 IS NOT NULL AND n <= 2 THEN depth END', 'depth')},
   {r6('CASE WHEN x1 IS NOT NULL AND n <= 2 THEN depth END', 'first')}, {r6('volume', 'second')} FROM obs"""

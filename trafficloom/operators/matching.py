@@ -436,7 +436,8 @@ def sinkhorn(
     for _ in range(iterations):
         shifted = scaled if over_columns is None else scaled.join(over_columns, column_id)
         value = F.col("_s") if over_columns is None else F.col("_s") - F.col("_v")
-        over_rows = pin(log_sums(row_id, value, shifted, "_u"))
+        # pinned once per round; the last row sums are only read twice
+        over_rows = log_sums(row_id, value, shifted, "_u")
         over_columns = pin(log_sums(column_id, F.col("_s") - F.col("_u"), scaled.join(over_rows, row_id), "_v"))
     finished = scaled.join(over_rows, row_id).join(over_columns, column_id)
 

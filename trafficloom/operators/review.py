@@ -13,6 +13,7 @@ from trafficloom.functions.numbers import count_where
 from trafficloom.params import REVIEW_DECISIONS, SPATIAL_PREDICATES
 
 NO_RELATION = "no_relation"
+PARTS = 64
 
 
 def _by_predicate(rels: DataFrame, predicates: Sequence[str]) -> DataFrame:
@@ -22,9 +23,12 @@ def _by_predicate(rels: DataFrame, predicates: Sequence[str]) -> DataFrame:
 
 
 def _first(rows: DataFrame, sizes: dict[str, int], order: Sequence[Column]) -> DataFrame:
-    """First rows per label. The limit on the rank reaches below the shuffle, so no label gathers all its rows."""
-    over = Window.partitionBy("sampled_for").orderBy(*order)
-    ranked = rows.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= max(sizes.values()))
+    """First rows per label: first those of each hashed part of a label, then of the parts together."""
+    most, over = max(sizes.values()), Window.partitionBy("sampled_for").orderBy(*order)
+    inside = Window.partitionBy("sampled_for", "_part").orderBy(*order)
+    parted = rows.withColumn("_part", F.pmod(F.xxhash64("token"), F.lit(PARTS)))
+    leading = parted.withColumn("_at", F.row_number().over(inside)).where(F.col("_at") <= most).drop("_at", "_part")
+    ranked = leading.withColumn("rank", F.row_number().over(over))
     wanted = F.create_map(*[F.lit(v) for pair in sizes.items() for v in pair])
     return ranked.where(F.col("rank") <= wanted[F.col("sampled_for")])
 

@@ -141,10 +141,10 @@ def display_ids(objects: DataFrame) -> DataFrame:
 
 
 def frame_document(objects: DataFrame, relations: DataFrame, part_rows: int = 4096) -> DataFrame:
-    """Nested record per frame as JSON, with totals.
+    """Nested records of frames as JSON, with totals, keyed by (sequence, frame, part).
 
-    A frame with more than `part_rows` entries is given in several parts, so that no record grows without
-    bound; `part` counts from 0.
+    Part p always holds entries p * part_rows to (p + 1) * part_rows - 1 of the frame, at every size, in the order objects,
+    spatial and temporal relations by key; so a record is bounded and a small frame's one part is part 0.
     """
     shown = display_ids(objects)
     entries = shown.select(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 4096
+SALTS = 32
 
 
 def balanced_join(
@@ -22,7 +23,7 @@ def balanced_join(
 
     Keys with more than `chunk` rows on a side are cut into parts on that side, and the rows of the other
     side are repeated once per part; every matching pair meets exactly once. The table of cut keys has at
-    most rows/chunk entries and is joined without a hint, so that its real size decides how. The id columns
+    most rows/chunk entries, each repeated SALTS times, and is joined without a hint, so that its real size decides how. The id columns
     identify a row of their side; a row's part follows from them, so that a recomputed task repeats it.
     """
     keys = list(keys)
@@ -39,7 +40,10 @@ def balanced_join(
     )
 
     def spread(side: DataFrame, ids: Sequence[str], own: str, other: str, own_parts: str, other_parts: str):
-        tagged = side.join(parts, keys, "left")
+        # the look-up of cut keys would itself put a large key into one task: rows are salted, cut keys repeated
+        salted = side.withColumn("_salt", F.pmod(F.xxhash64(*ids), F.lit(SALTS)).cast("int"))
+        told = parts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        tagged = salted.join(told, [*keys, "_salt"], "left")
         copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other_parts), F.lit(1)) - 1))
         return tagged.select(
             *side.columns,

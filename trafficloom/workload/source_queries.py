@@ -207,8 +207,11 @@ def sink_tables(spark, sf):
     obs = tables.observations(spark, sf).select("token", "sequence", "label", "volume")
     root = scratch_path(spark, "tables")
     writers.write_tables({"sample_annotation": obs, "sample": tables.samples(spark, sf)}, root)
-    read = spark.read.parquet(f"{root}/sample_annotation")
-    return read.groupBy(F.col("sequence").cast("long").alias("sequence"), "label").agg(
+    boxes, samples = (spark.read.parquet(f"{root}/{t}") for t in ("sample_annotation", "sample"))
+    every = boxes.select("sequence", "label", "volume").unionByName(
+        samples.select("sequence", F.lit("(samples)").alias("label"), F.lit(0.0).alias("volume"))
+    )
+    return every.groupBy(F.col("sequence").cast("long").alias("sequence"), "label").agg(
         F.count(F.lit(1)).alias("rows"), r6(F.sum("volume"), "volume")
     )
 
