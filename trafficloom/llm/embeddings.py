@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from trafficloom.plans.pinning import pin
 MIN_COSINE = 0.95
 TABLES = 8
 BLOCK = 2048
+FEW = 64
+ROWS = 8192
 SEED = 42
 _ROWS = "vec_id long, digest binary, vector binary"
 _BUCKETS = "class_no long, bucket long, home boolean"
@@ -42,13 +45,17 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@cache
+def _signs(number: int, size: int) -> np.ndarray:
+    return np.random.default_rng([SEED, number, size]).choice([-1.0, 1.0], size=(3, size))
+
+
 def _choices(unit: np.ndarray, number: int) -> np.ndarray:
     """First and second choice of hash `number` for every row, as integers below 2d."""
     size = 1 << max(1, (unit.shape[1] - 1).bit_length())
     x = np.zeros((len(unit), size))
     x[:, : unit.shape[1]] = unit
-    signs = np.random.default_rng([SEED, number, size]).choice([-1.0, 1.0], size=(3, size))
-    for row in signs:
+    for row in _signs(number, size):
         x = _hadamard(x * row)
     best = np.argsort(-np.abs(x), axis=1, kind="stable")[:, :2]
     return best * 2 + (np.take_along_axis(x, best, axis=1) < 0)
@@ -77,8 +84,7 @@ def _first_meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _units(blobs: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    found = [np.frombuffer(b.as_buffer(), dtype="<f8") for b in blobs]
-    x = np.stack(found)
+    x = np.stack([np.frombuffer(b.as_buffer(), dtype="<f8") for b in blobs])
     # squares of very small or large components would be lost
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -121,41 +127,104 @@ def _bucketed(tables: int):
     return run
 
 
-def _verified(min_cosine: float, tables: int):
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        bucket, left, right = (k.as_py() for k in key)
-        numbers, sizes = group.column("class_no").to_numpy(), group.column("n").to_numpy()
-        unit, home, block = _units(group.column("vector")), group.column("home").to_numpy(), group.column("block").to_numpy()
-        known = codes(unit, tables)
-        a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        links = np.zeros(len(numbers), dtype=np.int64)
-        edges_a, edges_b = [], []
+def _small_pairs(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs inside groups of few rows, groups of one size at a time."""
+    found_a, found_b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for m in np.unique(sizes).tolist():
+        i, j = np.triu_indices(m, 1)
+        first = begins[sizes == m][:, None]
+        found_a.append((first + i).ravel())
+        found_b.append((first + j).ravel())
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _linked(bucket, left, right, block, home, unit, weight, numbers, min_cosine: float, tables: int):
+    """(links per row, edge ends) of whole groups of rows, a group being a pair of blocks of a bucket."""
+    change = (np.diff(bucket) != 0) | (np.diff(left) != 0) | (np.diff(right) != 0)
+    begins = np.flatnonzero(np.append(True, change))
+    sizes = np.diff(np.append(begins, len(bucket)))
+    links = np.zeros(len(bucket), dtype=np.int64)
+    ends: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def count(p: np.ndarray, q: np.ndarray) -> None:
+        """Adds the pairs of rows that meet here first."""
+        for k in range(0, len(p), 1 << 16):
+            a, b = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
+            rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            known = codes(unit[rows], tables)
+            first = _first_meeting(known[at[: len(a)]], known[at[len(a) :]]) == bucket[a]
+            np.add.at(links, a[first], weight[b[first]])
+            np.add.at(links, b[first], weight[a[first]])
+
+    few = sizes <= FEW
+    pairs_a, pairs_b = _small_pairs(begins[few], sizes[few])
+    keep = (home[pairs_a] | home[pairs_b]) & ((left == right)[pairs_a] | (block[pairs_a] != block[pairs_b]))
+    pairs_a, pairs_b = pairs_a[keep], pairs_b[keep]
+    near = [
+        (unit[pairs_a[k : k + (1 << 16)]] * unit[pairs_b[k : k + (1 << 16)]]).sum(axis=1) >= min_cosine
+        for k in range(0, len(pairs_a), 1 << 16)
+    ]
+    if near:
+        near = np.concatenate(near)
+        p, q = pairs_a[near], pairs_b[near]
+        count(p, q)
+        # at most FEW / 2 pairs a row
+        ends.append((p, q))
+    for begin, size in zip(begins[~few].tolist(), sizes[~few].tolist(), strict=True):
+        rows, same = np.arange(begin, begin + size), left[begin] == right[begin]
+        a, b = rows[block[rows] == left[begin]], rows[block[rows] == right[begin]]
         for i in range(0, len(a), BLOCK):
-            for j in range(i if left == right else 0, len(b), BLOCK):
+            for j in range(i if same else 0, len(b), BLOCK):
                 x, y = a[i : i + BLOCK], b[j : j + BLOCK]
-                near = unit[x] @ unit[y].T >= min_cosine
-                near &= home[x][:, None] | home[y][None, :]
-                if left == right and i == j:
-                    near = np.triu(near, 1)
-                rows, columns = np.nonzero(near)
-                for k in range(0, len(rows), 1 << 16):
-                    p, q = x[rows[k : k + (1 << 16)]], y[columns[k : k + (1 << 16)]]
-                    first = _first_meeting(known[p], known[q]) == bucket
-                    np.add.at(links, p[first], sizes[q[first]])
-                    np.add.at(links, q[first], sizes[p[first]])
-                u, v = spanning_edges(near)
+                close = unit[x] @ unit[y].T >= min_cosine
+                close &= home[x][:, None] | home[y][None, :]
+                if same and i == j:
+                    close = np.triu(close, 1)
+                r, c = np.nonzero(close)
+                count(x[r], y[c])
+                u, v = spanning_edges(close)
                 points = np.concatenate([x, y])
-                edges_a.append(numbers[points[u]])
-                edges_b.append(numbers[points[v]])
-        linked = np.flatnonzero(links)
-        ends_a, ends_b = (np.concatenate(e) if e else np.empty(0, dtype=np.int64) for e in (edges_a, edges_b))
-        return pa.table(
-            {
-                "class_no": pa.array(np.concatenate([numbers[linked], ends_a])),
-                "links": pa.array(np.concatenate([links[linked], np.zeros(len(ends_a), dtype=np.int64)])),
-                "other": pa.array([None] * len(linked) + ends_b.tolist(), pa.int64()),
-            }
-        )
+                ends.append((points[u], points[v]))
+    return links, ends
+
+
+def _verified(min_cosine: float, tables: int):
+    columns = ("bucket", "left", "right", "block", "home", "n", "class_no")
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Whole groups, of vectors of one length; about ROWS rows or a single group."""
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            if held.num_rows < ROWS:
+                continue
+            keys = np.stack([held.column(c).to_numpy() for c in columns[:3]])
+            changes = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0))
+            if len(changes):
+                cut = int(changes[-1]) + 1
+                yield held.slice(0, cut)
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(_FOUND)
+        for whole in chunks(batches):
+            dims = np.array([len(b.as_buffer()) for b in whole.column("vector")])
+            cuts = [0, *(np.flatnonzero(np.diff(dims)) + 1).tolist(), len(dims)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                part = whole.slice(i, j - i)
+                bucket, left, right, block, home, weight, numbers = (
+                    part.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in columns
+                )
+                unit = _units(part.column("vector"))
+                links, ends = _linked(bucket, left, right, block, home, unit, weight, numbers, min_cosine, tables)
+                linked = np.flatnonzero(links)
+                a, b = (np.concatenate([np.empty(0, dtype=np.int64), *(e[k] for e in ends)]) for k in (0, 1))
+                for n, l, o in ((numbers[linked], links[linked], None), (numbers[a], np.zeros(len(a), np.int64), numbers[b])):
+                    other = pa.nulls(len(n), pa.int64()) if o is None else pa.array(o)
+                    yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(l), other], schema=schema)
 
     return run
 
@@ -205,8 +274,9 @@ def near_vectors(
     )
     found = pin(
         dealt.join(classes.select("class_no", "n", "vector"), "class_no")
-        .groupBy("bucket", "left", "right")
-        .applyInArrow(_verified(min_cosine, tables), _FOUND)
+        .repartition("bucket", "left", "right")
+        .sortWithinPartitions("bucket", "left", "right")
+        .mapInArrow(_verified(min_cosine, tables), _FOUND)
     )
     links = found.where("other IS NULL").groupBy("class_no").agg(F.sum("links").alias("links"))
     linked = components(found.where("other IS NOT NULL").select("class_no", "other"), "class_no", "other")
