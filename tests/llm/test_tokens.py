@@ -57,8 +57,9 @@ def test_full_caches_change_nothing(monkeypatch):
 
 def test_words_equal_library():
     known, mine = library(WORDS), packing.Words(WORDS)
-    for text in [*texts(3000), "Hello  World\nand\tMORE"]:
-        ids = np.frombuffer(mine.encode(text), dtype=mine.kind).tolist()
+    found = [*texts(3000), "Hello  World\nand\tMORE. A, b! İ, ß. É; don't. x... y., <|ENDOFTEXT|> <|endoftext|>. K, ſ!"]
+    for text, packed in zip(found, mine.encode(found), strict=True):
+        ids = np.frombuffer(packed, dtype=mine.kind).tolist()
         assert ids == [*known.encode(text, add_special_tokens=False).ids, packing.END_ID]
 
 

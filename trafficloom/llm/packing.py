@@ -12,13 +12,14 @@ import os
 import zlib
 from collections.abc import Iterator, Mapping
 from functools import cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficloom.llm.bpe import _Cache
+from trafficloom.llm.bpe import CACHED_CHARS
 from trafficloom.llm.texts import emitted, rows_of, utf8
 from trafficloom.plans.lookup import lookup
 from trafficloom.plans.ordered import running_totals
@@ -27,6 +28,10 @@ from trafficloom.plans.pinning import pin, scratch_path
 WINDOW = 2048
 PACKET = 512
 END_ID = 1
+TOGETHER = 64
+CACHED = 200_000
+# Marks that the vocabulary's split always parts from a letter before them.
+MARKS = tuple(".,;:!?")
 _TOKENS = "doc_id long, source string, doc_tokens long, ids binary"
 _PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -34,22 +39,66 @@ _PIECES = (
 
 
 class Words:
-    """Ids of a vocabulary that never joins what a space separates; the items between spaces are encoded once each."""
+    """Ids of a vocabulary that never joins what a space separates.
+
+    The items between spaces are encoded once and kept; those a batch brings anew go through the library together, with a
+    special token between them that no item contains, and are told apart by its id.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
-        library.no_truncation()
-        library.no_padding()
-        self.kind = "<u2" if library.get_vocab_size() <= 1 << 16 else "<u4"
-        encode = library.encode
-        self.items = _Cache(lambda item: np.array(encode(item, add_special_tokens=False).ids, dtype=self.kind).tobytes())
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.mark_id, self.mark = min((i, t.content) for i, t in self.library.get_added_tokens_decoder().items())
+        self.items: dict[str, bytes] = {}
+        self.marks = {m: self._ids(m) for m in MARKS}
         self.end = np.array([END_ID], dtype=self.kind).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.items.__getitem__, text.replace("\n", " ").split(" "))) + self.end
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def _learn(self, items: list[str]) -> None:
+        alone = [i for i in items if self.mark in i]
+        for item in alone:
+            self.items[item] = self._ids(item)
+        joint = [i for i in items if self.mark not in i]
+        groups = [joint[i : i + TOGETHER] for i in range(0, len(joint), TOGETHER)]
+        found = self.library.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False)
+        for group, encoding in zip(groups, found, strict=True):
+            ids = np.array(encoding.ids, dtype=self.kind)
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
+            packed, width, start = ids.tobytes(), ids.itemsize, 0
+            for item, end in zip(group, ends, strict=True):
+                self.items[item] = packed[start * width : end * width]
+                start = end + 1
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.items) > CACHED:
+            self.items.clear()
+        fresh = set().union(*parts) - self.items.keys()
+        stems = {item: self._stem(item) for item in fresh}
+        self._learn(list({s for s, _ in stems.values()} - self.items.keys()))
+        for item, (stem, mark) in stems.items():
+            self.items[item] = self.items[stem] + self.marks.get(mark, b"")
+        found = [b"".join(map(self.items.__getitem__, p)) + self.end for p in parts]
+        for item in fresh:
+            if len(item) > CACHED_CHARS:
+                self.items.pop(item, None)
+                self.items.pop(stems[item][0], None)
+        return found
+
+    @staticmethod
+    def _stem(item: str) -> tuple[str, str]:
+        """What is asked of the library: a word of ASCII letters in lower case, and the one mark that may end it apart, as the
+        vocabulary's own split and normalisation have them. Anything else stays as it is."""
+        mark = item[-1:] if item[-1:] in MARKS else ""
+        word = item[: len(item) - len(mark)]
+        return (word.lower(), mark) if word.isascii() and word.isalpha() else (item, "")
 
 
 @cache
@@ -63,9 +112,10 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str, source_col
         size = np.dtype(known.kind).itemsize
 
         def rows() -> Iterator[tuple]:
-            for doc_id, source, text in rows_of(batches, "doc_id", "source", "text"):
-                ids = known.encode(text.decode())
-                yield doc_id, source, len(ids) // size, ids
+            for part in batched(rows_of(batches, "doc_id", "source", "text"), 256):
+                encoded = known.encode([text.decode() for *_, text in part])
+                for (doc_id, source, _), ids in zip(part, encoded, strict=True):
+                    yield doc_id, source, len(ids) // size, ids
 
         return emitted(_TOKENS, rows())
 
