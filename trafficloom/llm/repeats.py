@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficloom.llm.texts import arrow_schema, emitted, narrow, rows_of, utf8
@@ -32,12 +32,16 @@ from trafficloom.plans.pinning import pin
 LENGTH = 50
 ANCHOR = 16
 LONGEST_RUN = 512
-SLICE = 16 << 20
+SLICE = 8 << 20
+GROUP_BYTES = 1 << 20
 NO_ID = (1 << 63) - 1
-_ANCHORS = "key long, anchor long, text_key long, known boolean, several boolean"
-_STRINGS = "anchor long, text_key long, rank long, start long, content binary, size long"
-_SPANS = "text_key long, rank long, start long, stop long"
-_CUT = "text_key long, rank long, n_removed long, n_spans long, cut_sha string"
+PART_BYTES = 16 << 20
+_ANCHORS = "part long, several boolean, keys binary, counts binary, anchors binary"
+_SHARED = "_text_key long, anchor long"
+_STRINGS = "anchor long, _text_key long, _rank long, start long, content binary, size long"
+_PACKED = "part long, strings binary"
+_SPANS = "_text_key long, _rank long, start long, stop long"
+_CUT = "_text_key long, _rank long, n_removed long, n_spans long, cut_sha string"
 _REPEATS = "repeat_id long, length long, doc_id long, start long"
 
 
@@ -47,13 +51,13 @@ def anchors(text: bytes, length: int) -> np.ndarray:
     if n < length:
         return np.empty(0, dtype=np.uint64)
     words = np.ndarray(shape=(n - 7,), dtype="<u8", buffer=text, strides=(1,))
-    h = words[:-8] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h += words[8:]
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    h = np.zeros(n - ANCHOR + 1, dtype=np.uint64)
+    for at in (*range(0, ANCHOR - 8, 8), ANCHOR - 8):
+        h += words[at : at + len(h)]
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
     h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(29)
+    h ^= h >> np.uint64(32)
     width, reach = length - ANCHOR + 1, 1
     while reach * 2 <= width:
         h = np.minimum(h[:-reach], h[reach:])
@@ -89,37 +93,125 @@ def _slices(rows: Iterator[tuple], text_at: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def _anchor_rows(length: int):
+def _packed(part: int, several: bool, values: np.ndarray, owner: np.ndarray) -> tuple:
+    """Anchors in order of their texts, with each text's key and number of anchors."""
+    order = np.argsort(owner, kind="stable")
+    values, owner = values[order], owner[order]
+    begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    counts = np.diff(np.append(begins, len(owner))).astype("<u4")
+    return part, several, owner[begins].tobytes(), counts.tobytes(), values.tobytes()
+
+
+def _anchor_rows(length: int, text_col: str, parts: int):
+    """Anchors of the texts in packed rows, dealt over `parts` by their hash.
+
+    An anchor that several texts of a task have goes on once, marked, so that a common passage leaves a task as one anchor;
+    the texts that already know go on under the numbers from `parts` on, by text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for held in _slices(((_bytes(t),) for (t,) in rows_of(batches, text_col)), 0):
+                texts = {t for (t,) in held if len(t) >= length}
+                if not texts:
+                    continue
+                keys, found = [], []
+                for text in texts:
+                    values = anchors(text, length)
+                    found.append(np.unique(values[runs(values)[0]]))
+                    keys.append(_signed(xxhash.xxh64_intdigest(text, 42)))
+                values = np.concatenate(found)
+                owner = np.repeat(np.array(keys, dtype="<i8"), [len(f) for f in found])
+                order = np.argsort(values, kind="stable")
+                values, owner = values[order], owner[order]
+                first = np.append(True, values[1:] != values[:-1])
+                several = np.append(~first[1:], False) & first
+                part = _mixed(values) % parts
+                part = np.where(first, part, parts + owner % parts)
+                kind = part * 2 + several
+                order = np.argsort(kind, kind="stable")
+                cuts = np.flatnonzero(np.append(True, np.diff(kind[order]) != 0)).tolist()
+                for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                    at = order[i:j]
+                    yield _packed(int(part[at[0]]), bool(several[at[0]]), values[at], owner[at])
+
+        return emitted(_ANCHORS, rows(), size=500)
+
+    return run
+
+
+def _shared_anchors(parts: int):
+    """(text, anchor) where some other text has the anchor as well."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        def whole(name: str, kind: str) -> list[np.ndarray]:
+            return [np.frombuffer(b.as_buffer(), dtype=kind) for b in group.column(name)]
+
+        anchor_lists = whole("anchors", "<u8")
+        values = np.concatenate(anchor_lists)
+        owner = np.concatenate([np.repeat(k, c) for k, c in zip(whole("keys", "<i8"), whole("counts", "<u4"), strict=True)])
+        if key[0].as_py() < parts:
+            several = np.repeat(group.column("several").to_numpy(), [len(a) for a in anchor_lists])
+            order = np.lexsort((owner, values))
+            values, owner, several = values[order], owner[order], several[order]
+            begins = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+            sizes = np.diff(np.append(begins, len(values)))
+            shared = (owner[begins] != owner[begins + sizes - 1]) | np.logical_or.reduceat(several, begins)
+            keep = np.repeat(shared, sizes)
+            values, owner = values[keep], owner[keep]
+        return pa.table({"_text_key": pa.array(owner), "anchor": pa.array(values.view(np.int64))})
+
+    return run
+
+
+def _bytes(text: str | bytes | None) -> bytes:
+    return text.encode() if isinstance(text, str) else text or b""
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """Anchors are least hashes, so their upper bits are not even: they are mixed once more before they are dealt out."""
+    return (values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64)
+
+
+def _string_parts(length: int, text_col: str, merge: bool, parts: int):
+    """The strings of `_string_rows`, dealt over `parts` by anchor, as compressed Arrow tables."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(_ANCHORS)
-        for part in _slices(((t,) for (t,) in rows_of(batches, "text")), 0):
-            texts = {t for (t,) in part if len(t) >= length}
-            if not texts:
-                continue
-            keys, found = [], []
-            for text in texts:
-                values = anchors(text, length)
-                found.append(np.unique(values[runs(values)[0]]))
-                keys.append(_signed(xxhash.xxh64_intdigest(text, 42)))
-            values = np.concatenate(found)
-            owner = np.repeat(np.array(keys, dtype=np.int64), [len(f) for f in found])
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order].view(np.int64), owner[order]
-            first = np.append(True, values[1:] != values[:-1])
-            several = np.append(~first[1:], False) & first
-            # an anchor seen in several texts here goes on once; its other texts already know
-            columns = (np.where(first, values, owner), values, owner, ~first, several)
-            for k in range(0, len(values), 50_000):
-                arrays = [pa.array(c[k : k + 50_000], f.type) for c, f in zip(columns, schema, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        def rows() -> Iterator[tuple]:
+            for batch in _string_rows(length, text_col, merge)(batches):
+                part = _mixed(batch.column("anchor").to_numpy()) % parts
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)).tolist()
+                for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                    sink = pa.BufferOutputStream()
+                    dealt = batch.take(pa.array(order[i:j]))
+                    with pa.ipc.new_stream(sink, dealt.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_batch(dealt)
+                    yield int(part[order[i]]), sink.getvalue().to_pybytes()
+
+        return emitted(_PACKED, rows(), size=500)
 
     return run
 
 
-def _string_rows(length: int, merge: bool):
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings of one part after the other, each part in order of the anchors. Rows come in order of the parts."""
+    held, last = [], None
+    for part, blob in rows_of(batches, "part", "strings"):
+        if held and part != last:
+            yield from pa.concat_tables(held).sort_by("anchor").to_batches(2000)
+            held = []
+        held.append(pa.ipc.open_stream(blob).read_all())
+        last = part
+    if held:
+        yield from pa.concat_tables(held).sort_by("anchor").to_batches(2000)
+
+
+def _string_rows(length: int, text_col: str, merge: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for part in _slices(rows_of(batches, "text_key", "rank", "text", "shared"), 2):
+            found = rows_of(batches, "_text_key", "_rank", text_col, "_shared")
+            for part in _slices(((k, r, _bytes(t), s) for k, r, t, s in found), 2):
                 strings: dict[bytes, tuple[int, list]] = {}
                 for text_key, rank, text, shared in part:
                     values = anchors(text, length)
@@ -139,7 +231,7 @@ def _string_rows(length: int, merge: bool):
                             # a smaller document of this task has it: decided, only the place goes on
                             yield text_key, text_key, rank, a, None, len(content)
 
-        return emitted(_STRINGS, rows(), size=20_000)
+        return emitted(_STRINGS, rows(), size=1 << 18, max_bytes=SLICE)
 
     return run
 
@@ -162,12 +254,12 @@ class Array:
     def _sort(self, start: np.ndarray, remaining: np.ndarray, left: np.ndarray, inside: np.ndarray, longest: int) -> None:
         n = len(self.text) - 7
         words = np.ndarray(shape=(n,), dtype=">u8", buffer=self.text.tobytes(), strides=(1,)).astype(np.uint64)
-        ranks, width = [np.unique(words, return_inverse=True)[1]], 8
-        while width < longest:
+        ranks, width = [np.unique(words, return_inverse=True)[1].astype(np.int32)], 8
+        while width < longest and ranks[-1].max() + 1 < n:
             now = ranks[-1]
             after = np.zeros(n, dtype=np.int64)
             after[: max(0, n - width)] = now[width:]
-            ranks.append(np.unique(now * np.int64(n + 1) + after, return_inverse=True)[1])
+            ranks.append(np.unique(now * np.int64(n + 1) + after, return_inverse=True)[1].astype(np.int32))
             width *= 2
         order = np.argsort(ranks[-1][start], kind="stable")
         self.start, self.left, self.inside, self.string = start[order], left[order], inside[order], self.string[order]
@@ -220,10 +312,10 @@ class Array:
 
 
 def _groups(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
-    """Rows sorted by anchor in lists of whole anchor groups, each of about SLICE bytes at least."""
+    """Rows sorted by anchor in lists of whole anchor groups, each of about GROUP_BYTES of strings."""
     held, weight, last = [], 0, None
     for row in rows:
-        if weight >= SLICE // 4 and row[0] != last:
+        if weight >= GROUP_BYTES and row[0] != last:
             yield held
             held, weight = [], 0
         held.append(row)
@@ -244,7 +336,7 @@ def _arrays(part: list[tuple], length: int) -> tuple[dict[bytes, list[tuple]], l
     return places, [c for found in by_anchor.values() if len(found) > 1 for c in sorted(found)]
 
 
-_COLUMNS = ("anchor", "text_key", "rank", "start", "content", "size")
+_COLUMNS = ("anchor", "_text_key", "_rank", "start", "content", "size")
 
 
 def _span_rows(length: int):
@@ -260,7 +352,7 @@ def _span_rows(length: int):
 
         def rows() -> Iterator[tuple]:
             spans: list[tuple] = []
-            for part in _groups(decided(rows_of(batches, *_COLUMNS), spans)):
+            for part in _groups(decided(rows_of(_unpacked(batches), *_COLUMNS), spans)):
                 yield from spans
                 spans.clear()
                 places, strings = _arrays(part, length)
@@ -274,11 +366,13 @@ def _span_rows(length: int):
         def inside(places: dict[bytes, list[tuple]], strings: list[bytes]) -> Iterator[tuple]:
             array = Array(strings, length)
             owner = np.array([min(places[s])[0] for s in strings], dtype=np.int64)
-            ranks, cover = owner[array.string], np.zeros(len(array.text) + 1, dtype=np.int32)
+            ranks, opened, closed = owner[array.string], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
             for size, first, last, least in array.repeats(owner):
                 begin = array.start[first : last + 1][ranks[first : last + 1] > least]
-                np.add.at(cover, begin, 1)
-                np.add.at(cover, begin + size, -1)
+                opened.append(begin)
+                closed.append(begin + size)
+            n = len(array.text) + 1
+            cover = np.bincount(np.concatenate(opened), minlength=n) - np.bincount(np.concatenate(closed), minlength=n)
             covered = np.cumsum(cover) > 0
             edges = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
             begins, ends = edges[::2], edges[1::2]
@@ -299,7 +393,7 @@ def _repeat_rows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for part in _groups(rows_of(batches, *_COLUMNS)):
+            for part in _groups(rows_of(_unpacked(batches), *_COLUMNS)):
                 places, strings = _arrays(part, length)
                 single = [c for c, found in places.items() if len(found) > 1]
                 strings = list(dict.fromkeys(strings + single))
@@ -325,40 +419,41 @@ def _repeat_rows(length: int):
 
 
 class _Plan:
-    """The shared steps; texts are read through one exchange, which the later joins use again."""
+    """The shared steps over `texts`, which has the text and whatever else the caller needs.
 
-    def __init__(self, docs: DataFrame, length: int, id_col: str, text_col: str, merge: bool = True) -> None:
+    The texts go through one exchange by text and document, which all joins with them use again.
+    """
+
+    def __init__(self, texts: DataFrame, length: int, id_col: str, text_col: str, merge: bool = True) -> None:
         if length < 2 * ANCHOR:
             raise ValueError(f"repeats of at least {2 * ANCHOR} bytes only")
-        rows = narrow(docs, id_col, text_col)
-        ranked = F.coalesce("doc_id", F.lit(NO_ID)).alias("rank")
-        key = F.xxhash64("text").alias("text_key")
-        self.keyed = pin(
-            rows.select("doc_id", ranked, key, F.length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha"))
-        )
+        key = F.xxhash64(utf8(text_col)).alias("_text_key")
+        rank = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_rank")
+        sha = F.unhex(F.sha2(utf8(text_col), 256)).alias("sha")
+        n_bytes = F.length(utf8(text_col)).cast("long").alias("n_bytes")
+        self.keyed = pin(texts.select(F.col(id_col).cast("long").alias("doc_id"), rank, key, n_bytes, sha))
         self.owners = pin(
             self.keyed.groupBy("sha").agg(
-                F.min("rank").alias("owner"), F.count(F.lit(1)).alias("copies"), F.first("text_key").alias("text_key")
+                F.min("_rank").alias("owner"), F.count(F.lit(1)).alias("copies"), F.first("_text_key").alias("_text_key")
             )
         )
-        self.texts = rows.select(key, ranked, "text").repartition("text_key", "rank")
-        # key is the anchor for rows that ask whether it is shared, and the text for rows that know
-        seen = Window.partitionBy("key", "known")
+        self.texts = texts.withColumns({"_text_key": key, "_rank": rank}).repartition("_text_key", "_rank")
+        size = self.keyed.agg(F.sum("n_bytes")).first()[0] or 0
+        parts = max(1, -(-size // PART_BYTES))
         shared = (
-            rows.select("text")
-            .mapInArrow(_anchor_rows(length), _ANCHORS)
-            .withColumn("shared", F.col("known") | F.max("several").over(seen) | (F.min("text_key").over(seen) != F.max("text_key").over(seen)))
-            .where("shared")
-            .groupBy("text_key")
-            .agg(F.collect_set("anchor").alias("shared"))
+            texts.select(text_col)
+            .mapInArrow(_anchor_rows(length, text_col, parts), _ANCHORS)
+            .groupBy("part")
+            .applyInArrow(_shared_anchors(parts), _SHARED)
+            .groupBy("_text_key")
+            .agg(F.collect_set("anchor").alias("_shared"))
         )
-        owned = self.owners.select("text_key", F.col("owner").alias("rank"))
-        wanted = shared.join(owned, "text_key")
+        owned = self.owners.select("_text_key", F.col("owner").alias("_rank"))
         self.strings = (
-            self.texts.join(wanted, ["text_key", "rank"])
-            .mapInArrow(_string_rows(length, merge), _STRINGS)
-            .repartition("anchor")
-            .sortWithinPartitions("anchor")
+            self.texts.join(shared.join(owned, "_text_key"), ["_text_key", "_rank"])
+            .mapInArrow(_string_parts(length, text_col, merge, 4 * parts), _PACKED)
+            .repartition("part")
+            .sortWithinPartitions("part")
         )
 
     def told(self) -> DataFrame:
@@ -367,12 +462,12 @@ class _Plan:
 
     @staticmethod
     def copied(length: int) -> Column:
-        return (F.col("rank") > F.col("owner")) & (F.col("n_bytes") >= length)
+        return (F.col("_rank") > F.col("owner")) & (F.col("n_bytes") >= length)
 
     def spans(self, length: int) -> DataFrame:
-        """(text_key, rank, spans) of the smallest document of each text."""
+        """(_text_key, _rank, _spans) of the smallest document of each text."""
         found = self.strings.mapInArrow(_span_rows(length), _SPANS)
-        return found.groupBy("text_key", "rank").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+        return found.groupBy("_text_key", "_rank").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
 
 
 def _left(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
@@ -393,7 +488,7 @@ def _left(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
-        for text_key, rank, text, spans in rows_of(batches, "text_key", "rank", "text", "spans"):
+        for text_key, rank, text, spans in rows_of(batches, "_text_key", "_rank", "text", "_spans"):
             kept, removed, n = _left(text, spans)
             yield text_key, rank, removed, n, hashlib.sha256(kept).hexdigest()
 
@@ -407,9 +502,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     the input. Null text is empty; a null doc_id counts as larger than any other and as equal to another null. Rows that repeat
     a doc_id do not remove from each other. An empty table gives an empty result.
     """
-    plan = _Plan(docs, length, id_col, text_col)
-    cut = plan.texts.join(plan.spans(length), ["text_key", "rank"]).mapInArrow(_cut, _CUT)
-    found = plan.told().join(cut.dropDuplicates(["text_key", "rank"]), ["text_key", "rank"], "left")
+    keys = ["_text_key", "_rank"]
+    plan = _Plan(narrow(docs, id_col, text_col), length, "doc_id", "text")
+    cut = plan.texts.join(plan.spans(length), keys).mapInArrow(_cut, _CUT)
+    found = plan.told().join(cut.dropDuplicates(keys), keys, "left")
     copied, nothing = plan.copied(length), F.lit(hashlib.sha256(b"").hexdigest())
     return found.select(
         "doc_id",
@@ -425,17 +521,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
     A character that lost some of its bytes goes as a whole. Every row stays, if with an empty text; null stays null.
     """
+    keys = ["_text_key", "_rank"]
     plan = _Plan(docs, length, id_col, text_col)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
-    copies = plan.told().where(plan.copied(length)).select("text_key", "rank", whole.alias("spans"))
-    spans = plan.spans(length).unionByName(copies.dropDuplicates(["text_key", "rank"]))
-    keys = spans.select(F.col("text_key").alias("_text_key"), F.col("rank").alias("_rank"), F.col("spans").alias("_spans"))
-    tagged = docs.withColumns(
-        {
-            "_text_key": F.xxhash64(utf8(text_col)),
-            "_rank": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
-        }
-    ).join(keys, ["_text_key", "_rank"], "left")
+    copies = plan.told().where(plan.copied(length)).select(*keys, whole.alias("_spans"))
+    spans = plan.spans(length).unionByName(copies.dropDuplicates(keys))
+    tagged = plan.texts.join(spans, keys, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -458,5 +549,5 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     Texts equal as a whole count as their smallest document. A repeat is as long as it goes within one run of windows with the same
     anchor; a longer one is reported as several that overlap and cover it. repeat_id is a hash of the string.
     """
-    plan = _Plan(docs, length, id_col, text_col, merge=False)
+    plan = _Plan(narrow(docs, id_col, text_col), length, "doc_id", "text", merge=False)
     return plan.strings.mapInArrow(_repeat_rows(length), _REPEATS).distinct()
