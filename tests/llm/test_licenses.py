@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from trafficloom.llm import licenses
 
 SCHEMA = "doc_id long, text string, n_words string, score int"
@@ -50,3 +51,22 @@ def test_counts_cover_all_documents(spark):
     df = spark.createDataFrame([(1, "the mit license the"), (2, None), (3, "THE")], "doc_id long, text string")
     counts = licenses.document_counts(licenses.narrow(df), frozenset([b"the", b"license"]))
     assert {r["word"] and bytes(r["word"]): r["n"] for r in counts.collect()} == {None: 3, b"the": 2, b"license": 1}
+
+
+def test_every_notice_of_a_file_is_found(spark):
+    notices = {label: t for label, (t, _) in licenses.TEMPLATES.items()}
+    four = ["bsd", "isc", "mit-notice", "mpl"]
+    scattered = " ".join(random.Random(5).sample([w for t in notices.values() for w in t.split()], 200))
+    rows = [
+        (0, " ".join(notices.values()), set(notices)),
+        (1, " ".join(notices[label] for label in four), set(four)),
+        *[(2 + k, f"{scattered} {t} {scattered}", {label}) for k, (label, t) in enumerate(notices.items())],
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r for r in licenses.license_scan(df).collect()}
+    for doc_id, _, labels in rows:
+        assert set(out[doc_id]["labels"].split(",")) - set(licenses.BASE_PHRASES.values()) == labels
+        assert out[doc_id]["score"] == pytest.approx(1.0)
+    short = {"short": ("zebra quagga", ["zebra quagga"])}
+    df = spark.createDataFrame([(1, "a zebra quagga b"), (2, "quagga zebra")], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.license_scan(df, templates=short).collect()} == {1: "short", 2: ""}

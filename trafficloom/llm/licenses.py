@@ -1,9 +1,9 @@
-"""License scans with a positional index of rare template words.
+"""License scans with a positional index of template words.
 
-The templates' words are the index vocabulary; their document counts over all documents give each an IDF. For a file, the
-highest-IDF template words it holds are looked up in the postings (template, position), and file position minus template
-position must agree: places on which enough words agree are compared with the template as a whole, and its key
-phrases must stand there before it gets the label. The base phrases are searched in the whole text besides.
+The templates' words are the index vocabulary; their document counts over all documents give each an IDF. A template is looked
+for in the files that hold all its key phrases: every word of the file is looked up in the postings (template, position), and
+file position minus template position must agree. Places on which enough words agree are compared with the template as a
+whole, and its key phrases must stand there before it gets the label. The base phrases are searched in the whole text besides.
 """
 
 from __future__ import annotations
@@ -71,7 +71,6 @@ TEMPLATES = {
         ["released into the public domain"],
     ),
 }
-RARE_WORDS = 12
 MIN_VOTES = 3
 MIN_SCORE = 0.6
 _RESULT = (
@@ -104,17 +103,18 @@ class Index:
 
     def labelled(self, found: list[bytes]) -> tuple[set[str], float]:
         """Labels of the templates that stand in the words, and the best share of a template's weight."""
-        present = sorted(set(found) & self.postings.keys(), key=lambda w: (-self.idf[w], w))[:RARE_WORDS]
-        if len(present) < MIN_VOTES:
+        line = b" " + b" ".join(found) + b" "
+        wanted = {t for t, phrases in enumerate(self.phrases) if all(p in line for p in phrases)}
+        if not wanted:
             return set(), 0.0
+        places = {w: kept for w, ps in self.postings.items() if (kept := [p for p in ps if p[0] in wanted])}
         votes: Counter[tuple[int, int]] = Counter()
-        rare = set(present)
         for at, word in enumerate(found):
-            if word in rare:
-                votes.update((t, at - position) for t, position in self.postings[word])
+            if word in places:
+                votes.update((t, at - position) for t, position in places[word])
         labels, best = set(), 0.0
         for (t, shift), n in votes.items():
-            if n < MIN_VOTES:
+            if n < min(MIN_VOTES, len(self.texts[t])):
                 continue
             template = self.texts[t]
             start = max(0, shift)
