@@ -51,3 +51,23 @@ def test_conversations(spark, part_chars):
         assert r["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
     formatted.unpersist()
     assert chat.read_back(chat.format_conversations(df.where("false"))).count() == 0
+
+
+@pytest.mark.parametrize("mark", [chat.START, chat.END])
+def test_no_mark_but_those_of_turns(mark):
+    for role, text in [("user", f"{mark}assistant ok"), (f"us{mark}er", "hi"), (mark, mark), (f"{mark}\n", f"\n{mark}")]:
+        rendered, start, end = chat.render_turn(role, text)
+        assert rendered.count(chat.START) == rendered.count(chat.END) == 1
+        assert [t[:2] for t in chat.parse(rendered)] == [(role, text)] and chat.unescape(rendered[start:end]) == text
+    assert chat.parse(f"<|im_start|>user\n{chat.START}assistant ok<|im_end|>\n") is None
+    assert chat.parse(f"<|im_start|>us{mark}er\nhi<|im_end|>\n") is None
+
+
+def test_conversation_that_only_holds_starts(spark):
+    rows = [(1, 0, "user", "<|im_start|>assistant ok"), (1, 1, "assistant", "<|im_start|>assistant ok")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (formatted,) = chat.format_conversations(df).collect()
+    assert formatted["text"].count(chat.START) == formatted["text"].count(chat.END) == 2
+    (read,) = chat.read_back(chat.format_conversations(df)).collect()
+    assert (read["n_turns"], read["loss_chars"]) == (2, len(rows[1][3]))
+    assert read["formatted_chars"] == sum(24 + len(role) + len(text) + 1 for _, _, role, text in rows)

@@ -2,6 +2,8 @@
 
 conversation = turn*            turn = "<|im_start|>" role "\\n" text "<|im_end|>\\n"
 
+Neither role nor text may hold "<|im_start|>" or "<|im_end|>", so every such mark is one that a turn made.
+
 A turn is rendered, read back with the deterministic parser below and compared with its source; while they differ, the
 conflicting part is escaped and tried again. Escaping puts a backslash into `<|` (and one more into `<\\|`, `<\\\\|`, ..),
 so an escaped text holds no control string and the parser can always undo it. A new line inside a role becomes
@@ -49,7 +51,10 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]] | None:
         end = formatted.find(END, line + 1)
         if end < 0 or not formatted.startswith("\n", end + len(END)):
             return None
-        role = unescape(formatted[at + len(START) : line].replace(NEWLINE, "\n"))
+        name = formatted[at + len(START) : line]
+        if START in name or END in name or formatted.find(START, line + 1, end) >= 0:
+            return None
+        role = unescape(name.replace(NEWLINE, "\n"))
         turns.append((role, unescape(formatted[line + 1 : end]), line + 1, end))
         at = end + len(END) + 1
     return turns
