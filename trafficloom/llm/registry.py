@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficloom.llm import bpe, chat, embeddings, exact, licenses, packing, repeats, simhash, token_counts, toxicity
+from trafficloom.llm import (
+    bpe,
+    chat,
+    embeddings,
+    exact,
+    licenses,
+    merkle,
+    packing,
+    repeats,
+    simhash,
+    token_counts,
+    toxicity,
+    trie,
+)
 from trafficloom.llm.texts import table
 from trafficloom.plans.pinning import scratch_path
 
@@ -82,6 +95,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in groups of 20 ids that begin alike: up to three first turns are those of the group's first one."""
+    found = trie.sequences(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    taken = F.crc32(conv.cast("string")) % 4
+    return trie.prefix_trie(trie.with_heads(found, conv - F.pmod(conv, F.lit(20)), taken, 3))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, checked after the texts of a third of them were put in lower case."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.verified(table(spark, sf_dir, "documents"), tampered, {"text": merkle.lowered("text")})
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_simhash,
@@ -94,6 +121,8 @@ def queries() -> dict[str, Query]:
         op8_repeats,
         op9_chat_formatting,
         op10_license_scan,
+        op12_conversation_trie,
+        op13_merkle_manifest,
     )
     return {q.__name__: q for q in found}
 
@@ -125,5 +154,110 @@ FROM e GROUP BY conv_id
 """
 
 
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 1 + length({text})), "
+        f"lambda at_: ord(substr({text}, at_, 1))::BIGINT)), lambda sum_, byte_: list_reduce(list_prepend(xor(sum_, byte_), "
+        "range(8)), lambda bits_, k_: CASE WHEN bits_ & 1 = 1 THEN xor(bits_ >> 1, 3988292384) ELSE bits_ >> 1 END)))"
+    )
+
+
+_OP12 = rf"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), n AS (SELECT conv_id, count(*) AS size FROM t GROUP BY conv_id),
+c AS (
+  SELECT n.conv_id, {_crc32("n.conv_id::VARCHAR")} % 4 AS h, n.conv_id - n.conv_id % 20 AS base, coalesce(b.size, 0) AS base_size
+  FROM n LEFT JOIN n b ON b.conv_id = n.conv_id - n.conv_id % 20
+), r AS (
+  SELECT c.conv_id, t.k, role, text FROM c JOIN t ON t.conv_id = c.base AND t.k <= c.h
+  UNION ALL SELECT c.conv_id, least(h, base_size) + t.k - h, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.k > h
+), s AS (
+  SELECT c.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY k) FILTER (k IS NOT NULL), []) AS said
+  FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id
+), m AS (SELECT conv_id, said, unnest(range(0, len(said) + 1)) AS depth FROM s),
+v AS (
+  SELECT depth, said[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(said) = depth), '')) AS ends_sha256
+  FROM m GROUP BY ALL
+), w AS (
+  SELECT *, (n_convs - 1) * CASE depth WHEN 0 THEN 0
+    ELSE len(regexp_extract_all(path[depth].text, '[^\x20\x09-\x0D]+')) END AS shared FROM v
+), k AS (
+  SELECT u.depth, u.path, count(x.conv_id) AS n_children
+  FROM w u LEFT JOIN w x ON x.depth = u.depth + 1 AND x.path[1:u.depth] = u.path GROUP BY ALL
+), z AS (SELECT w.*, k.n_children FROM w JOIN k ON k.depth = w.depth AND k.path = w.path)
+SELECT u.conv_id, u.depth, any_value(p.conv_id) AS parent_conv_id, u.n_convs, u.n_children,
+  count(*) FILTER (x.n_children = 0) AS n_leaves, CAST(sum(x.shared) AS BIGINT) AS saved_tokens, u.ends_sha256
+FROM z u JOIN z x ON x.depth >= u.depth AND x.path[1:u.depth] = u.path
+LEFT JOIN z p ON p.depth = u.depth - 1 AND p.path = u.path[1:u.depth - 1]
+GROUP BY u.conv_id, u.depth, u.n_convs, u.n_children, u.ends_sha256, u.path
+"""
+
+
+def _op13(levels: int = 7) -> str:
+    """Trees of up to 8 ** levels nodes, level by level; a lone node goes up as it is."""
+
+    def known(value: str) -> str:
+        return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+    def grown(t: str) -> str:
+        out = []
+        for k in range(levels):
+            up, here = f"{t}{k + 1}", f"{t}{k}"
+            out.append(
+                f"{up} AS (SELECT tree, p // 8 AS p, (any_value(size) + 7) // 8 AS size, CASE any_value(size) WHEN 1 "
+                f"THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY p)) END AS h FROM {here} GROUP BY tree, p // 8)"
+            )
+        return ", ".join(out)
+
+    def beside(t: str, rows: str, out: str) -> str:
+        parts = []
+        for k in range(levels):
+            parts.append(
+                f"SELECT r.u, {k} AS level, coalesce(string_agg(b.h, '' ORDER BY b.p) FILTER (b.p < r.place // {8**k}), '') AS l, "
+                f"coalesce(string_agg(b.h, '' ORDER BY b.p) FILTER (b.p > r.place // {8**k}), '') AS r FROM {rows} r JOIN {t}{k} b "
+                f"ON b.tree = r.tree AND b.p // 8 = r.place // {8 ** (k + 1)} WHERE b.size > 1 GROUP BY r.u"
+            )
+        return f"{out} AS ({' UNION ALL '.join(parts)})"
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    head = " || ".join(known(f"{c}::VARCHAR") for c in ("doc_id", "source", "lang", "n_chars"))
+    changed = known(f"translate(text, '{upper}', '{lower}')")
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS u, doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS tree,
+    sha256({head} || {known("text")}) AS leaf,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN sha256({head} || {changed}) END AS changed FROM documents
+), a AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, u) - 1 AS place,
+    count(*) OVER (PARTITION BY tree) AS size FROM d
+), n0 AS (SELECT tree, place AS p, size, leaf AS h FROM a), {grown("n")},
+g AS (SELECT row_number() OVER () AS u, tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS place, 'all' AS tree FROM n{levels}),
+t0 AS (SELECT tree, place AS p, count(*) OVER () AS size, h FROM g), {grown("t")},
+{beside("n", "a", "ns")}, {beside("t", "g", "ts")},
+steps AS (
+  SELECT u, level, l, r FROM ns
+  UNION ALL SELECT a.u, {levels} + ts.level, l, r FROM a JOIN g ON g.name = a.tree JOIN ts ON ts.u = g.u
+), o AS (SELECT u, row_number() OVER (PARTITION BY u ORDER BY level) AS i, l, r FROM steps),
+f AS (
+  SELECT u, 0 AS i, coalesce(changed, leaf) AS h FROM a
+  UNION ALL SELECT f.u, o.i, sha256(o.l || f.h || o.r) FROM f JOIN o ON o.u = f.u AND o.i = f.i + 1
+), e AS (SELECT u, arg_max(h, i) AS h FROM f GROUP BY u),
+q AS (SELECT u, sha256(string_agg(l || r, '' ORDER BY i)) AS h FROM o GROUP BY u)
+SELECT a.doc_id, a.leaf, g.h AS subroot, top.h AS root, coalesce(q.h, sha256('')) AS proof_sha256, e.h AS folded_root,
+  e.h = top.h AS verified
+FROM a JOIN g ON g.name = a.tree JOIN e ON e.u = a.u LEFT JOIN q ON q.u = a.u CROSS JOIN t{levels} top
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": _OP4, "op9_chat_formatting": _OP9}
+    return {
+        "op4_exact_dedup": _OP4,
+        "op9_chat_formatting": _OP9,
+        "op12_conversation_trie": _OP12,
+        "op13_merkle_manifest": _op13(),
+    }
