@@ -15,6 +15,7 @@ from trafficloom.llm import (
     licenses,
     merkle,
     packing,
+    quality,
     repeats,
     simhash,
     token_counts,
@@ -95,6 +96,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; a quarter of the labels, by checksum of the id, is held out."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold != 2)
+    held_out = F.coalesce(fold == 2, F.lit(False)).alias("held_out")
+    return quality.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations in groups of 20 ids that begin alike: up to three first turns are those of the group's first one."""
     found = trie.sequences(table(spark, sf_dir, "conversations"))
@@ -121,6 +131,7 @@ def queries() -> dict[str, Query]:
         op8_repeats,
         op9_chat_formatting,
         op10_license_scan,
+        op11_quality,
         op12_conversation_trie,
         op13_merkle_manifest,
     )
