@@ -236,7 +236,7 @@ UNION ALL SELECT 'sequence:' || state, sequence::VARCHAR, 1 FROM st"""
     ),
     "tl_budget_prefix": sql(
         """WITH per AS (SELECT sequence, (sequence*3) % 5 AS priority, sum(size)::BIGINT AS bytes FROM chan GROUP BY ALL),
-cum AS (SELECT *, sum(bytes) OVER (ORDER BY priority)::BIGINT AS cumulative_bytes FROM per)
+cum AS (SELECT *, sum(bytes) OVER (ORDER BY priority, sequence)::BIGINT AS cumulative_bytes FROM per)
 SELECT c.sequence, c.bytes, c.cumulative_bytes, f.start_frame, f.end_frame, f.selected_frames, f.frames_with_instance_masks,
   (SELECT count(*) FROM ev e JOIN syn s ON s.sequence = e.sequence AND s.frame = e.frame
    WHERE e.sequence = c.sequence AND e.event_type = 'signup' AND e.user_id % 3 = 0) AS dynamic_box_observations
