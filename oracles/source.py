@@ -3,7 +3,7 @@
 from oracles.base import r6, sql
 
 SQL = {
-    "src_file_index": sql("SELECT path || '.png' AS path, size AS length, frame FROM chan"),
+    "src_file_index": sql("SELECT sequence, day AS frame, 16 * count(*) AS length FROM ev GROUP BY sequence, day"),
     "src_keyed_text": sql(
         f"""SELECT 'P_' || event_id AS key, 2 AS count, {r6('value', 'first')}, {r6('k::DOUBLE', 'second')} FROM ev WHERE event_type NOT IN ('view', 'error')"""
     ),
@@ -25,7 +25,9 @@ FROM obs WHERE user_id % 11 <> 0"""
     ),
     "src_json_array": sql("SELECT conv_id, turn, role FROM conversations"),
     "src_lidar_bin": sql(
-        """SELECT point_id AS event_id, round(x::FLOAT::DOUBLE, 3) + 0.0 AS x, round(y::FLOAT::DOUBLE, 3) + 0.0 AS y, z, (point_id % 7)::DOUBLE AS intensity FROM pts"""
+        """SELECT sequence, day AS frame, row_number() OVER (PARTITION BY sequence, day ORDER BY event_id) - 1 AS point_id,
+  round((cents / 500.0)::FLOAT::DOUBLE, 3) + 0.0 AS x, round((k / 5.0)::FLOAT::DOUBLE, 3) + 0.0 AS y,
+  (event_id % 3)::DOUBLE AS z, (event_id % 7)::DOUBLE AS intensity FROM ev"""
     ),
     "sink_tables": sql(f"SELECT sequence, label, count(*) AS rows, {r6('sum(volume)', 'volume')} FROM obs GROUP BY ALL UNION ALL SELECT sequence, '(samples)', count(*), 0.0 FROM smp GROUP BY sequence"),
     "sink_json_records": sql(

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficloom.operators import observations
 from trafficloom.plans.pinning import scratch_path
-from trafficloom.sources import readers, writers
+from trafficloom.sources import readers, sweeps, writers
 from trafficloom.streaming import ingest
 from trafficloom.workload import evaluation_queries, spatial_queries, tables
 from trafficloom.workload.common import r6, registry
@@ -29,12 +24,31 @@ def _words(*values: Column | str) -> Column:
     return F.concat_ws(" ", *[F.col(v) if isinstance(v, str) else v for v in values])
 
 
+def _sweeps(spark: SparkSession, sf: str) -> str:
+    """Folder with one file per sequence and day that holds its events' points."""
+    root = scratch_path(spark, "sweeps")
+    points = tables.events(spark, sf).select(
+        "sequence",
+        F.col("day").alias("frame"),
+        F.col("event_id").alias("point_id"),
+        (F.col("cents") / 500.0).alias("x"),
+        (F.col("k") / 5.0).alias("y"),
+        (F.col("event_id") % 3).alias("z"),
+        (F.col("event_id") % 7).alias("intensity"),
+    )
+    sweeps.write_sweeps(points, root)
+    return root
+
+
 @query
 def src_file_index(spark, sf):
-    """Frame files of the events' channels, every purchase also with a thumbnail whose name is no number."""
-    files = tables.frame_channels(spark, sf).select(F.concat("path", F.lit(".png")).alias("path"), F.col("size").alias("length"))
-    thumbs = files.select(F.regexp_replace("path", r"/(\d+)\.png", "/thumb_$1.png").alias("path"), "length")
-    return readers.file_index(files.unionByName(thumbs))
+    """The sweeps of the events as they lie in their folder, beside files whose names are no numbers."""
+    root = _sweeps(spark, sf)
+    notes = tables.events(spark, sf).select("sequence", F.col("event_type").alias("value"))
+    notes.write.mode("append").partitionBy("sequence").text(root)
+    found = readers.file_index(readers.list_files(spark, root))
+    sequence = F.regexp_extract("path", r"sequence=(\d+)", 1).cast("long")
+    return found.select(sequence.alias("sequence"), "frame", "length")
 
 
 @query
@@ -184,21 +198,10 @@ def src_json_array(spark, sf):
 
 @query
 def src_lidar_bin(spark, sf):
-    """Every event's point packed into 16 bytes and read back."""
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)]).astype("<f4")
-            content = pa.array([row.tobytes() for row in values], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), content], names=["path", "content"])
-
-    points = tables.points(spark, sf).select(
-        F.col("point_id").cast("string").alias("path"), "x", "y", "z", (F.col("point_id") % 7).cast("double").alias("i")
-    )
-    files = points.mapInArrow(packed, "path string, content binary")
-    decoded = observations.decode_points(files)
+    """Every event's point in the sweep of its sequence and day, written as files by tasks and read back."""
+    read = sweeps.read_sweeps(spark, _sweeps(spark, sf), ["sequence", "frame", "point_id", "x", "y", "z", "intensity"])
     exact = [(F.round(F.col(c).cast("double"), 3) + 0.0).alias(c) for c in ("x", "y", "z", "intensity")]
-    return decoded.select(F.col("path").cast("long").alias("event_id"), *exact)
+    return read.select(F.col("sequence").cast("long").alias("sequence"), "frame", "point_id", *exact)
 
 
 @query
