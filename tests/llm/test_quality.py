@@ -5,9 +5,9 @@ import os
 import random
 from collections import Counter
 from pathlib import Path
-from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,17 +22,49 @@ def test_bag():
     assert quality.bag("a b a a") == Counter({"a": 3, "b": 1, " =2": 1, " =1": 1})
     far = " ".join(["a", *[f"w{k}" for k in range(quality.NEAR)], "a"])
     assert not any(w.startswith(" ") for w in quality.bag(far))
-    assert len(quality.rows_of_word(" =1", 100)) == 1
-    assert quality.rows_of_word("ab", 1 << 20) == [crc32(x) % (1 << 20) for x in (b"<ab>", b"<ab", b"ab>", b"<ab>")]
+
+
+def plain_rows(word, buckets):
+    """Table rows of a word, one window at a time."""
+    if word[0] == " ":
+        grams, framed = [(0, word)], word
+    else:
+        framed = f"<{word}>"
+        grams = [(0, framed)] + [(n, framed[i : i + n]) for n in quality.GRAMS for i in range(len(framed) - n + 1)]
+    out = []
+    for kind, gram in grams:
+        x = sum(ord(c) * pow(quality._BASE, k + 1, 1 << 32) for k, c in enumerate(gram)) + kind * 0x9E3779B9
+        for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+            x = ((x % (1 << 32)) ^ (x % (1 << 32) >> shift)) * factor
+        x %= 1 << 32
+        out.append((x ^ (x >> 16)) % buckets)
+    return out
+
+
+def test_rows():
+    words = ["a", "ab", "the", " =3", "naïve", "🙂🙂", "x" * 3000, "z"]
+    rows, owner = quality.hashed(words, 1 << 16)
+    for k, w in enumerate(words):
+        assert sorted(rows[owner == k].tolist()) == sorted(plain_rows(w, 1 << 16))
+    assert [len(x) for x in quality.hashed([], 8)] == [0, 0]
+
+
+def plain_score(model, text):
+    words = quality.bag(text)
+    if not words:
+        return 1 / (1 + math.exp(-model.bias))
+    mean = sum(n * np.mean([model.gains[r] for r in plain_rows(w, len(model.gains))]) for w, n in words.items()) / sum(words.values())
+    return 1 / (1 + math.exp(-mean - model.bias))
 
 
 def test_score_is_the_softmax_of_the_mean():
     bags = [quality.bag(t) for t in ("good fine good", "bad bad", "fine words", "poor bad")]
     model = quality.train(bags, np.array([1, 0, 1, 0]), buckets=512, epochs=3, batch=2)
-    text = "good bad other good"
-    words = quality.bag(text)
-    mean = sum(n * np.mean([model.gains[r] for r in quality.rows_of_word(w, 512)]) for w, n in words.items()) / sum(words.values())
-    assert math.isclose(model.scorer()(text), 1 / (1 + math.exp(-mean - model.bias)), rel_tol=1e-12)
+    texts = ["good bad other good", "", " a  a\n", "\tone", "one ", "a b a b a c c c", " \n ", "a", "x" * 2000, "é é\u2003🙂 é"]
+    for k in (1, 3, len(texts)):
+        found = np.concatenate([model.scores(pa.array(texts[i : i + k])) for i in range(0, len(texts), k)])
+        assert np.allclose(found, [plain_score(model, t) for t in texts], rtol=1e-12)
+    assert (model.scores(pa.array(texts)) == found).all() and len(model.scores(pa.array([], pa.string()))) == 0
     again = quality.train(bags, np.array([1, 0, 1, 0]), buckets=512, epochs=3, batch=2)
     assert (again.gains == model.gains).all() and again.bias == model.bias
 
@@ -44,7 +76,7 @@ def test_one_step_by_hand():
     out = np.random.default_rng(7).uniform(-1, 1, (2, width))
     slope = (np.array([0.5, -0.5]) @ out)[None, :] * np.array([[2 / 3], [1 / 3]])
     step = 0.1 * slope / np.sqrt((slope**2).mean(axis=1, keepdims=True))
-    rows = [crc32(b" x") % buckets, crc32(b" y") % buckets]
+    rows = [plain_rows(" x", buckets)[0], plain_rows(" y", buckets)[0]]
     table = np.zeros((buckets, width))
     table[rows] -= step
     assert np.allclose(model.gains, table @ (out[1] - out[0]), atol=1e-6)  # the mean was zero, so `out` stayed

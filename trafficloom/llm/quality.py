@@ -2,10 +2,11 @@
 
 A text is a bag of its words, of the character n-grams of every word, and of marks that say how far back a repeated word
 stood last. All of them are hashed into rows of one table of learned vectors. A word is the mean of its rows, a text the mean of its
-words and marks, and a softmax over two classes reads it. Table and softmax are trained together by stochastic gradient descent with steps per row (Adagrad).
+words and marks, and a softmax over two classes reads it. Table and softmax are trained together by stochastic gradient descent
+with steps per row (Adagrad).
 
-The output is linear in the mean, so for scoring the table shrinks to one number per row: a text costs one look-up per
-distinct word, whatever its length.
+The output is linear in the mean, so for scoring the table shrinks to one number per row, and texts are scored many at a time:
+every distinct word of a piece of a batch is hashed once, in numpy.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,8 @@ RATE = 0.1
 GRAMS = (3, 4)
 NEAR = 8
 THRESHOLD = 0.7
-_CACHED, _CACHED_CHARS = 1 << 17, 40
+PIECE = 8 << 20
+_BASE = 0x01000193
 _SAMPLE = "label int, words string, counts array<long>"
 _SCORES = "doc_id long, score double, predicted int"
 
@@ -56,13 +58,39 @@ def bag(text: str) -> Counter[str]:
     return counts
 
 
-def rows_of_word(word: str, buckets: int) -> list[int]:
-    """Table rows of a word and its n-grams; a mark has one row."""
-    if word[0] == " ":
-        return [crc32(word.encode()) % buckets]
-    framed = f"<{word}>"
-    grams = [framed[i : i + n] for n in GRAMS for i in range(len(framed) - n + 1)]
-    return [crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in (framed, *grams)]
+def hashed(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, word of each row): the table rows of every word as a whole and of its n-grams; a mark has one row.
+
+    Words stand framed, one after the other, as code points; the sums over all windows of one size are three or four
+    products of shifted arrays, whatever the number of words.
+    """
+    framed = [w if w[0] == " " else f"<{w}>" for w in words]
+    points = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint32)
+    sizes = np.array([len(w) for w in framed], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    word = np.repeat(np.arange(len(words)), sizes)
+    inside = np.arange(len(points)) - np.repeat(ends - sizes, sizes)
+    powers = np.cumprod(np.full(max(int(sizes.max(initial=0)), max(GRAMS)), _BASE, dtype=np.uint32), dtype=np.uint32)
+    found = [_mixed(np.add.reduceat(points * powers[inside], ends - sizes, dtype=np.uint32), 0)] if words else []
+    owners = [np.arange(len(words))]
+    split = np.array([w[0] != " " for w in framed], dtype=bool)[word]
+    for n in GRAMS:
+        at = np.flatnonzero(split & (inside + n <= sizes[word]))
+        total = np.zeros(len(at), dtype=np.uint32)
+        for k in range(n):
+            total += points[at + k] * powers[k]
+        found.append(_mixed(total, n))
+        owners.append(word[at])
+    rows = np.concatenate(found) if words else np.zeros(0, dtype=np.uint32)
+    return (rows % np.uint32(buckets)).astype(np.int64), np.concatenate(owners)
+
+
+def _mixed(x: np.ndarray, kind: int) -> np.ndarray:
+    """Well-mixed 32-bit numbers; windows of different sizes don't share rows on purpose."""
+    x = x + np.uint32(kind * 0x9E3779B9 & 0xFFFFFFFF)
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        x = (x ^ (x >> np.uint32(shift))) * np.uint32(factor)
+    return x ^ (x >> np.uint32(16))
 
 
 @dataclass(frozen=True)
@@ -72,30 +100,37 @@ class Model:
     gains: np.ndarray
     bias: float
 
-    def scorer(self):
-        """Function from text to score; it remembers the words it has met, up to a bound."""
-        known: dict[str, float] = {}
-        gains, buckets = self.gains, len(self.gains)
-
-        def of(word: str) -> float:
-            found = known.get(word)
-            if found is None:
-                rows = rows_of_word(word, buckets)
-                found = float(gains[rows].mean())
-                if len(word) <= _CACHED_CHARS:
-                    if len(known) >= _CACHED:
-                        known.clear()
-                    known[word] = found
-            return found
-
-        def score(text: str) -> float:
-            total, size = 0.0, 0  # a text without words is left with the bias
-            for word, n in bag(text).items():
-                total += n * of(word)
-                size += n
-            return float(1.0 / (1.0 + np.exp(-np.clip(total / max(size, 1) + self.bias, -700, 700))))
-
-        return score
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """The mean gain of every word's rows."""
+        rows, word = hashed(words, len(self.gains))
+        return np.bincount(word, self.gains[rows], len(words)) / np.bincount(word, minlength=len(words))
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Scores of texts: words are numbered by Arrow, every distinct one is looked up once for all texts."""
+        split = pc.utf8_split_whitespace(texts)
+        counts = np.diff(split.offsets.to_numpy())
+        coded = split.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        text = np.repeat(np.arange(len(texts)), counts)
+        if "" in names:  # the end of a text in white space
+            whole = word != names.index("")
+            word, text = word[whole], text[whole]
+        known = [n for n in names if n]
+        gains = np.zeros(len(names))
+        gains[[k for k, n in enumerate(names) if n]] = self.of_words(known)
+        total = np.bincount(text, gains[word], len(texts)).astype(float)
+        size = np.bincount(text, minlength=len(texts))
+        marks = self.of_words([f" ={k}" for k in range(1, NEAR + 1)])
+        met = np.zeros(len(word), dtype=bool)
+        for k in range(1, NEAR + 1):
+            again = (word[k:] == word[:-k]) & (text[k:] == text[:-k]) & ~met[k:]
+            met[k:] |= again
+            n = np.bincount(text[k:][again], minlength=len(texts))
+            total += n * marks[k - 1]
+            size += n
+        # a text without words is left with the bias
+        return 1.0 / (1.0 + np.exp(-np.clip(total / np.maximum(size, 1) + self.bias, -700, 700)))
 
 
 def train(
@@ -111,13 +146,13 @@ def train(
     """A model from bags, none empty, and their classes (0 or 1); the same input in the same order gives the same model."""
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
-    entries = [(number.setdefault(w, len(number)), n) for b in bags for w, n in b.items()]
-    word, count = (np.array(x, dtype=np.int64) for x in zip(*entries, strict=True))
     doc_at = np.concatenate(([0], np.cumsum([len(b) for b in bags])))
-    of_word = [rows_of_word(w, buckets) for w in number]
-    sizes = np.array([len(r) for r in of_word])
+    word = np.fromiter((number.setdefault(w, len(number)) for b in bags for w in b), dtype=np.int32, count=doc_at[-1])
+    count = np.fromiter((n for b in bags for n in b.values()), dtype=np.int64, count=doc_at[-1])
+    row, owner = hashed(list(number), buckets)
+    row = row[np.argsort(owner, kind="stable")].astype(np.int32)
+    sizes = np.bincount(owner, minlength=len(number))
     word_at = np.concatenate(([0], np.cumsum(sizes)))
-    row = np.array([r for rows in of_word for r in rows], dtype=np.int64)
     norm = np.add.reduceat(count, doc_at[:-1])
 
     # rows that no example has stay at zero and say nothing
@@ -201,6 +236,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
     return train(bags, good)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of bounded bytes, or of one text."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column("text"), "")
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < batch.num_rows:
+            before = upto[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(upto, before + PIECE, side="right")))
+            yield batch.column("doc_id").slice(first, last - first), texts.slice(first, last - first)
+            first = last
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted), one row per row of `docs`: the probability of good quality, and whether it reaches `threshold`.
 
@@ -209,14 +257,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = model.scorer()
-
-        def rows() -> Iterator[tuple]:
-            for doc_id, text in rows_of(batches, "doc_id", "text"):
-                p = of(text or "")
-                yield doc_id, p, int(p >= threshold)
-
-        return emitted(_SCORES, rows())
+        for ids, texts in _pieces(batches):
+            found = model.scores(texts)
+            columns = [ids, pa.array(found), pa.array((found >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted"])
 
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return told.mapInArrow(run, _SCORES)
