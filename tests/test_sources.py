@@ -92,3 +92,76 @@ def test_ingest_takes_new_files_once(spark, tmp_path):
     ingest_incremental(spark, f"{inbox}/*", schema, target, state)
     rows = ingested(spark, target)
     assert rows.count() == 20 and rows.agg(F.countDistinct("id")).first()[0] == 20
+
+
+def exchanges(df):
+    """(columns dealt by, tables below) of every exchange of the executed plan."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    found = []
+    for i, line in enumerate(plan):
+        if "Exchange hashpartitioning" in line:
+            depth = line.index("Exchange")
+            below = []
+            for later in plan[i + 1 :]:
+                if len(later) - len(later.lstrip(" :+-*()0123456789")) <= depth:
+                    break
+                below += [w.rsplit(".", 1)[1].split("[")[0] for w in later.split() if w.startswith("spark_catalog.")]
+            found.append((line[depth:].split("(")[1].split("#")[0], below))
+    return found
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_bucketed_tables_are_not_shuffled_for_joins(spark, tmp_path, monkeypatch, again):
+    from trafficloom.operators import relation_index as ri
+
+    features = spark.range(300).select(
+        F.concat(F.lit("t"), "id").alias("annotation_token"), F.col("id").alias("feature_row"), F.array(F.lit(True), F.col("id") % 3 > 0).alias("modality_mask")
+    )
+    rels = spark.range(900).select(
+        "id", F.concat(F.lit("t"), F.col("id") % 310).alias("subject_token"), F.concat(F.lit("t"), F.col("id") * 7 % 320).alias("object_token")
+    )
+    want = sorted(map(str, ri.spatial_index(rels, features).select("id", "source_row", "target_row").collect()))
+    root = f"{tmp_path}/it's"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = writers.write_bucketed(features, root, "features", "annotation_token", 6)
+        by_subject = writers.write_bucketed(rels, root, "relations", "subject_token", 6)
+        if again:
+            rows, by_subject = writers.bucketed(spark, root, "features", "feature_rows"), writers.bucketed(spark, root, "relations")
+        found = ri.spatial_index(by_subject, rows).select("id", "source_row", "target_row")
+        assert sorted(map(str, found.collect())) == want
+        dealt = exchanges(found)
+        # one exchange, of the joined relations by object; none above a table's scan alone
+        assert [d for d, _ in dealt] == ["object_token"] and any("relations" in t for t in dealt[0][1])
+        with pytest.raises(Exception, match="non-empty|exists"):
+            writers.write_bucketed(rels, root, "relations", "subject_token", 6)
+        assert writers.write_bucketed(rels.limit(10), root, "relations", "object_token", 3, force=True).count() == 10
+        assert writers.bucketed(spark, root, "relations").count() == 10
+        files = list((tmp_path / "it's" / "features").glob("part-*"))
+        assert len(files) <= 6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_temporal_index_over_stored_windows(spark, tmp_path):
+    from trafficloom.operators import relation_index as ri
+
+    windows = spark.range(40).select(
+        F.concat(F.lit("w"), "id").alias("tracklet"),
+        F.array(*[F.when(F.col("id") % 7 == i, -1).otherwise(F.col("id") * 5 + i) for i in range(5)]).cast("array<long>").alias("rows"),
+        F.array(*[F.col("id") % 6 != i for i in range(5)]).alias("complete"),
+    )
+    rels = spark.range(200).select(
+        "id", F.concat(F.lit("w"), F.col("id") % 43).alias("subject_tracklet"), F.concat(F.lit("w"), F.col("id") * 3 % 41).alias("object_tracklet"), F.lit("s").alias("scene_token"), F.col("id").alias("start_sample_index")
+    )
+    want = sorted(map(str, ri.temporal_index(rels, windows).select("id", "joint_mask").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = ri.temporal_index(
+            writers.write_bucketed(rels, str(tmp_path), "relations", "subject_tracklet", 5), writers.write_bucketed(windows, str(tmp_path), "windows", "tracklet", 5)
+        ).select("id", "joint_mask")
+        assert sorted(map(str, found.collect())) == want and want
+        assert [d for d, _ in exchanges(found)] == ["object_tracklet"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from trafficloom.operators import relation_index as ri
 from trafficloom.params import SPATIAL_PREDICATES, TEMPORAL_PREDICATES
-from trafficloom.plans.pinning import pin
+from trafficloom.plans.pinning import pin, scratch_path
+from trafficloom.sources import writers
 from trafficloom.workload import association_queries, spatial_queries, tables, tracklet_queries
 from trafficloom.workload.common import joined, registry, rounded
 
@@ -54,9 +55,20 @@ def src_jsonl_metadata(spark, sf):
     return ri.metadata_checks(features(spark, sf).where("category <> 3"))
 
 
+def stored(df: DataFrame, name: str, key: str) -> DataFrame:
+    """The rows as a table in buckets of `key`, as many as a shuffle would have partitions."""
+    spark = df.sparkSession
+    return writers.write_bucketed(df, scratch_path(spark, "index"), name, key, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 @query
 def ri_spatial(spark, sf):
-    kept = ri.spatial_index(spatial_queries.relations(spark, sf), known_features(spark, sf))
+    """Relations stored by subject and feature rows stored by token: only the relations are shuffled once, for their objects."""
+    rels = spatial_queries.relations(spark, sf).select(
+        "token", "subject_token", "object_token", *SPATIAL_PREDICATES, "raw_frame_index", "sample_token"
+    )
+    rows = known_features(spark, sf).select("annotation_token", "feature_row", "modality_mask")
+    kept = ri.spatial_index(stored(rels, "relations", "subject_token"), stored(rows, "features", "annotation_token"))
     return kept.select("token", "source_row", "target_row", *SPATIAL_PREDICATES, "raw_frame_index", "sample_token")
 
 
@@ -87,7 +99,13 @@ def ri_joint_mask(spark, sf):
 
 @query
 def ri_temporal(spark, sf):
-    kept = temporal_index(spark, sf)
+    """Relations stored by subject and window rows stored by window, joined like the spatial ones."""
+    rels = tracklet_queries.relations(spark, sf).select(
+        "token", "subject_tracklet", "object_tracklet", "scene_token", "start_sample_index", *TEMPORAL_PREDICATES
+    )
+    kept = ri.temporal_index(
+        stored(rels, "relations", "subject_tracklet"), stored(tracklet_rows(spark, sf), "tracklets", "tracklet")
+    )
     return kept.select(
         "token", "group_id", joined("source_rows"), joined("target_rows"), joined("source_mask"), *TEMPORAL_PREDICATES
     )
