@@ -256,6 +256,7 @@ SELECT 'link_crosses_scene' AS rule, count(*) FILTER (WHERE NOT same OR ai//3 <>
 UNION ALL SELECT 'link_not_adjacent', count(*) FILTER (WHERE bi + bi//7 <> ai + ai//7 + 1) FROM e"""
     ),
     "tk_components": sql("SELECT row_id AS row, track_id FROM trks"),
+    "tk_components_merged": sql("SELECT row_id AS row, track_id FROM trks"),
     "tk_duplicate_check": sql(
         """SELECT track_id, scene_token, sample_index//2 AS sample_index, count(*) AS rows FROM mem GROUP BY 1, 2, 3 HAVING count(*) > 1"""
     ),

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from trafficloom.functions.numbers import add, clip, count_where, flag, ratio, sigmoid
 from trafficloom.functions.paths import path_distance
 from trafficloom.params import TemporalParams
+from trafficloom.plans.components import ComponentStore
 from trafficloom.plans.components import components as connected
+from trafficloom.plans.lookup import lookup
 from trafficloom.plans.ordered import positions
 from trafficloom.plans.pinning import pin
 
@@ -69,26 +71,44 @@ def link_checks(links: DataFrame, rows: DataFrame) -> DataFrame:
     return counted.unpivot([], counted.columns, "rule", "violations")
 
 
-def components(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(row, track_id) for rows with `eligible`; other rows get -1.
-
-    Track ids are dense and follow the smallest row of each track. Links may form chains, rings or anything else.
-    """
+def _eligible_links(rows: DataFrame, links: DataFrame) -> DataFrame:
     members = rows.where("eligible").select("row")
     known = links.select("source", "target").distinct()
     for end in ("source", "target"):
         known = known.join(members.withColumnRenamed("row", end), end, "left_semi")
-    found = connected(known, "source", "target")
+    return known
+
+
+def numbered(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, track_id) from components (node, component) of linked rows; `components` says how tracks are numbered."""
+    members = rows.where("eligible").select("row")
     headed = members.join(found, F.col("row") == F.col("node"), "left").select(
         "row", F.coalesce("component", "row").alias("head")
     )
-    smallest = headed.groupBy("head").agg(F.min("row").alias("_first"))
-    numbered = positions(smallest, [F.col("_first")], "track_id").drop("_first")
-    return rows.select("row").join(headed.join(numbered, "head").select("row", "track_id"), "row", "left").withColumn(
+    smallest = headed.groupBy("head").agg(F.min("row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    ids = pin(positions(smallest, [F.col("_first")], "track_id").drop("_first"))
+    told = lookup(headed, ids, "head", "_n", "row").select("row", "track_id")
+    return rows.select("row").join(told, "row", "left").withColumn(
         "track_id", F.coalesce("track_id", F.lit(MISSING).cast("long"))
     )
 
 
+def components(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(row, track_id) for rows with `eligible`; other rows get -1.
+
+    Track ids are dense and follow the smallest row of each track. Links may form chains, rings or anything else.
+    """
+    return numbered(rows, connected(_eligible_links(rows, links), "source", "target"))
+
+
+def add_links(store: ComponentStore, rows: DataFrame, links: DataFrame, number: int) -> None:
+    """Take a delivery of links into stored components; links of rows that aren't eligible are left out.
+
+    `numbered(rows, store.labels())` are the tracks after it, the same as those of all links at once.
+    """
+    store.add(_eligible_links(rows, links), "source", "target", number)
+
+
 def members(rows: DataFrame, tracks: DataFrame) -> DataFrame:
     """Rows on tracks with their frame: the table predicted rows are looked up in."""
     return tracks.where(F.col("track_id") >= 0).join(rows, "row")

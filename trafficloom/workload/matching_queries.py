@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from trafficloom.operators import matching, recovery, relation_index
 from trafficloom.plans.balanced import within_reach
-from trafficloom.plans.pinning import pin
+from trafficloom.plans.components import ComponentStore
+from trafficloom.plans.pinning import pin, scratch_path
 from trafficloom.workload import tables, tracklet_queries
 from trafficloom.workload.common import joined, r6, registry, rounded
 
@@ -105,6 +106,16 @@ def tk_components(spark, sf):
     return Scored(spark, sf).tracks()
 
 
+@query
+def tk_components_merged(spark, sf):
+    """The same tracks from links that arrive by their source, in three deliveries, the second one twice."""
+    scored = Scored(spark, sf)
+    links, store = pin(scored.links()), ComponentStore(spark, scratch_path(spark, "components"))
+    for number in (0, 1, 1, 2):
+        matching.add_links(store, scored.rows, links.where(F.col("source") % 3 == number), number)
+    return matching.numbered(scored.rows, store.labels())
+
+
 def _members(scored: Scored) -> DataFrame:
     return matching.members(scored.rows, scored.tracks())
 
