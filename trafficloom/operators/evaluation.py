@@ -10,11 +10,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trafficloom.functions.numbers import count_where, f1_score, flag, ratio, sigmoid
-from trafficloom.plans.ordered import running_totals
+from trafficloom.operators.checks import required
+from trafficloom.plans.ordered import PIECE, range_pieces, running_totals
 
 UNAVAILABLE_LOGIT = -20.0
 
@@ -51,6 +57,75 @@ def average_precision(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _of_piece(keys: Sequence[str], kinds: Sequence[str], schema: pa.Schema):
+    """What a piece adds to the precision of every slice, given what precedes the piece in each (`carried`)."""
+
+    def run(rows: pa.Table, carried: pa.Table) -> pa.Table:
+        ordered = rows.sort_by([("score", "descending"), ("relation_id", "ascending")])
+        both = [rows_.select(list(keys)).to_pandas() for rows_ in (ordered, carried)]
+        group = pd.concat(both, ignore_index=True).groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy()
+        mine, theirs = group[: ordered.num_rows], group[ordered.num_rows :]
+        target = ordered.column("target").to_numpy()
+        code = carried.column("code").to_numpy()
+        place = np.lexsort((code, theirs))
+        sums, positives = np.zeros(len(code)), np.zeros(len(code), dtype=np.int64)
+        for kind in kinds:
+            inside = np.flatnonzero(ordered.column(kind).is_valid().to_numpy(zero_copy_only=False))
+            of = ordered.column(kind).take(pa.array(inside)).to_numpy()
+            by = np.lexsort((of, mine[inside]))  # stable: rows of a slice stay in their order
+            g, c, t = mine[inside][by], of[by], target[inside][by]
+            starts = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1]))))[: len(g)]
+            length = np.diff(np.append(starts, len(g)))
+            # every slice of the piece has a row in `carried`
+            pair = np.rec.fromarrays([theirs[place], code[place]])
+            row = place[np.searchsorted(pair, np.rec.fromarrays([g[starts], c[starts]], dtype=pair.dtype))]
+            seen = np.cumsum(t)
+            rank = np.arange(1, len(g) + 1) - np.repeat(starts, length) + np.repeat(carried.column("n").to_numpy()[row], length)
+            hits = seen - np.repeat(seen[starts] - t[starts], length) + np.repeat(carried.column("t").to_numpy()[row], length)
+            share = np.where(t == 1, hits / rank, 0.0)
+            if len(starts):
+                np.add.at(sums, row, np.add.reduceat(share, starts))
+                np.add.at(positives, row, np.add.reduceat(t, starts))
+        columns = [*[carried.column(k) for k in keys], carried.column("code"), pa.array(sums), pa.array(positives)]
+        return pa.Table.from_arrays([x.cast(f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def sliced_average_precision(long: DataFrame, keys: Sequence[str], slices: Sequence[Column]) -> DataFrame:
+    """`average_precision` per (*keys, slice) of rows that belong to several slices, from one sort of the rows.
+
+    Each of `slices` gives a row's slice of one kind, or null; all have the same type, and slices of different kinds must
+    differ. The rows are ranged once by falling score and met once more, piece by piece, with what precedes the piece in every
+    slice: one row per piece and slice. Ranks and hits are counted for all kinds where the rows lie.
+    """
+    keys = list(keys)
+    score = F.nanvl("score", F.lit(float("inf"))).alias("score")
+    kinds = [f"_kind{i}" for i in range(len(slices))]
+    codes = [F.when(s.isNotNull(), F.xxhash64(s)).alias(k) for s, k in zip(slices, kinds, strict=True)]
+    met = [F.when(s.isNotNull(), F.struct(F.xxhash64(s).alias("code"), s.alias("slice"))) for s in slices]
+    wide = long.select(*keys, "relation_id", score, "target", F.array_compact(F.array(*met)).alias("_slices"), *codes)
+    cut = range_pieces(wide.drop("_slices"), [F.col("score").desc(), F.col("relation_id").asc()])
+    names = wide.select(F.explode("_slices").alias("_s")).groupBy("_s.code").agg(
+        F.min("_s.slice").alias("slice"), F.max("_s.slice").alias("_other")
+    )
+    named = names.select("code", required(F.col("slice"), F.col("slice") == F.col("_other"), "two slices have one hash").alias("slice"))
+
+    each = cut.select(PIECE, *keys, "target", F.explode(F.array_compact(F.array(*kinds))).alias("code"))
+    totals = each.groupBy(PIECE, *keys, "code").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("t"))
+    before = Window.partitionBy(*keys, "code").orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(PIECE, *keys, "code", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("n", "t")])
+
+    kept = long.select(*keys).schema
+    out = T.StructType([*kept.fields, T.StructField("code", T.LongType()), T.StructField("total", T.DoubleType()), T.StructField("positives", T.LongType())])
+    run = _of_piece(keys, kinds, to_arrow_schema(out))
+    parts = cut.groupBy(PIECE).cogroup(carried.groupBy(PIECE)).applyInArrow(run, out)
+    precision = parts.groupBy(*keys, "code").agg(F.sum("total").alias("_total"), F.sum("positives").alias("_n"))
+    return precision.join(named, "code").select(
+        *keys, "slice", F.when(F.col("_n") > 0, F.col("_total") / F.col("_n")).alias("average_precision")
+    )
+
+
 def _hit(i: int, threshold: float) -> tuple[Column, Column]:
     actual = F.get("targets", F.lit(i)) == 1
     return actual, sigmoid(F.get("logits", F.lit(i))) >= threshold
@@ -105,13 +180,21 @@ def predicate_metrics(
 
 
 def multilabel(
-    predictions: DataFrame, predicates: Sequence[str], by: Sequence[str] = (), threshold: float = 0.5
+    predictions: DataFrame,
+    predicates: Sequence[str],
+    by: Sequence[str] = (),
+    threshold: float = 0.5,
+    precise: DataFrame | None = None,
 ) -> DataFrame:
-    """Macro F1 and mAP over supported predicates, micro figures, exact match and unsupported predicates."""
+    """Macro F1 and mAP over supported predicates, micro figures, exact match and unsupported predicates.
+
+    `precise` has (*by, predicate, average_precision) where these are known already.
+    """
     by = list(by)
     counts = _counts(predictions, predicates, by, threshold)
     rated = _rates(_per_predicate(counts, predicates, by).withColumn("support", F.col("tp") + F.col("fn")))
-    precise = average_precision(to_long(predictions, predicates, by), by)
+    if precise is None:
+        precise = average_precision(to_long(predictions, predicates, by), by)
     order = F.array(*[F.lit(p) for p in predicates])
     lacking = F.collect_list(F.when(F.col("support") == 0, F.array_position(order, F.col("predicate")) - 1))
     macro = rated.join(precise, [*by, "predicate"], "left").groupBy(*by).agg(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trafficloom.functions.numbers import add, count_where, flag, ratio
 from trafficloom.operators import evaluation
 from trafficloom.params import QUALITY_BINS
+from trafficloom.plans.pinning import pin
 
 ALL, OVERALL, AVAILABLE = "ALL", "overall", "available_only"
 
@@ -209,23 +210,25 @@ def token_check(relations: DataFrame, features: DataFrame, stored: DataFrame | N
     return rules.unionByName(differing.select(F.lit("availability_differs").alias("rule"), "violations"))
 
 
-def strata(rows: DataFrame) -> DataFrame:
-    """Every row once per slice it belongs to: (sequence or ALL) x (bin or overall), and available rows."""
+def slices() -> list[Column]:
+    """The slices of a row, one column per kind: (sequence or ALL) x (bin or overall), and available rows."""
 
     def slice_(sequence: Column, stratum: Column) -> Column:
         return F.struct(sequence.alias("slice_sequence"), stratum.alias("stratum"))
 
     everything, own = F.lit(ALL), F.col("sequence").cast("string")
-    slices = F.array_compact(
-        F.array(
-            slice_(everything, F.lit(OVERALL)),
-            F.when(F.col("available"), slice_(everything, F.lit(AVAILABLE))),
-            slice_(everything, F.col("quality_bin")),
-            slice_(own, F.lit(OVERALL)),
-            slice_(own, F.col("quality_bin")),
-        )
-    )
-    return rows.withColumn("_slice", F.explode(slices)).select("*", "_slice.*").drop("_slice")
+    return [
+        slice_(everything, F.lit(OVERALL)),
+        F.when(F.col("available"), slice_(everything, F.lit(AVAILABLE))),
+        slice_(everything, F.col("quality_bin")),
+        slice_(own, F.lit(OVERALL)),
+        slice_(own, F.col("quality_bin")),
+    ]
+
+
+def strata(rows: DataFrame) -> DataFrame:
+    """Every row once per slice it belongs to, for aggregates that are combined before they are shuffled."""
+    return rows.withColumn("_slice", F.explode(F.array_compact(F.array(*slices())))).select("*", "_slice.*").drop("_slice")
 
 
 def stratified(
@@ -242,8 +245,13 @@ def stratified(
         return df.select("relation_id", "logits", "targets", F.lit(name).alias("set"))
 
     both = of(teacher, "teacher").unionByName(of(predicted, "predicted"))
-    sliced = strata(both.join(facts, "relation_id"))
-    measured = evaluation.multilabel(sliced, predicates, ["set", *keys])
+    rows = pin(both.join(facts, "relation_id"))
+    sliced = strata(rows)
+    long = evaluation.to_long(rows, predicates, ["set", "sequence", "available", "quality_bin"])
+    precise = evaluation.sliced_average_precision(long, ["set", "predicate"], slices()).select(
+        "set", "slice.*", "predicate", "average_precision"
+    )
+    measured = pin(evaluation.multilabel(sliced, predicates, ["set", *keys], precise=precise))
     positives = F.aggregate("targets", F.lit(0).cast("long"), lambda s, t: s + t.cast("long"))
     described = sliced.where(F.col("set") == "teacher").groupBy(*keys).agg(
         F.sum(positives).alias("positive_labels"),

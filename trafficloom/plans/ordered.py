@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from trafficloom.plans.pinning import pin
 
 BLOCK = 1 << 20
-_PIECE = "_piece"
+PIECE = "_piece"
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -48,9 +48,9 @@ def block_scan(
     """
     sums, lags, lasts, nexts = (dict(x or {}) for x in (sums, lags, lasts, nexts))
     by = list(by)
-    keys = [*by, _PIECE]
+    keys = [*by, PIECE]
     pos = F.col(position)
-    cut = df.withColumn(_PIECE, F.floor(pos / F.lit(block)).cast("long"))
+    cut = df.withColumn(PIECE, F.floor(pos / F.lit(block)).cast("long"))
 
     aggregates = []
     for name, expr in sums.items():
@@ -63,10 +63,10 @@ def block_scan(
         aggregates.append(F.min_by(expr, F.when(expr.isNotNull(), pos)).alias(f"_n_{name}"))
     pieces = cut.groupBy(*keys).agg(*aggregates)
 
-    over = Window.partitionBy(*(by or [F.lit(0)])).orderBy(_PIECE)
+    over = Window.partitionBy(*(by or [F.lit(0)])).orderBy(PIECE)
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     # what follows is what precedes in the opposite order; a frame that runs to the end would be scanned anew per row
-    backwards = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(_PIECE))
+    backwards = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(PIECE))
     after = backwards.rowsBetween(Window.unboundedPreceding, -1)
     carried = pieces.select(
         *keys,
@@ -119,7 +119,7 @@ def with_runs(df: DataFrame, by: Sequence[str], position: str, stride: int = 1,
 
 def range_pieces(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Rows cut into ordered, evenly filled pieces, tagged and pinned."""
-    return pin(df.repartitionByRange(*order).withColumn(_PIECE, F.spark_partition_id()))
+    return pin(df.repartitionByRange(*order).withColumn(PIECE, F.spark_partition_id()))
 
 
 def running_totals(
@@ -132,9 +132,9 @@ def running_totals(
     by = list(by)
     values = {f"_v_{n}": e for n, e in totals.items()}
     cut = range_pieces(df.withColumns(values), [*[F.col(c) for c in by], *order])
-    keys = [*by, _PIECE]
+    keys = [*by, PIECE]
     pieces = cut.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
     carried = pieces.select(*keys, *[F.sum(f"_s_{n}").over(before).alias(f"_s_{n}") for n in totals])
     upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = cut.select("*", *[F.sum(f"_v_{n}").over(upto).alias(f"_l_{n}") for n in totals])
