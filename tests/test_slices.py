@@ -35,11 +35,11 @@ def plain(data):
         own = None if seq is None else str(seq)
         slices = [(quality.ALL, quality.OVERALL), (quality.ALL, b), (own, quality.OVERALL), (own, b)] + [(quality.ALL, quality.AVAILABLE)] * available
         for slice_ in slices:
-            groups.setdefault((s, p, slice_), []).append((-math.inf if math.isnan(score) or score == math.inf else -score, i, t))
+            groups.setdefault((s, p, slice_), []).append((not math.isnan(score), 0.0 if math.isnan(score) else -score, i, t))
     out = {}
     for key, found in groups.items():
         hits, total = 0, 0.0
-        for rank, (_, _, t) in enumerate(sorted(found), 1):
+        for rank, (*_, t) in enumerate(sorted(found), 1):
             hits += t
             total += t * hits / rank
         out[key] = total / hits if hits else None

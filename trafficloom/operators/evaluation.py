@@ -13,6 +13,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,7 +62,11 @@ def _of_piece(keys: Sequence[str], kinds: Sequence[str], schema: pa.Schema):
     """What a piece adds to the precision of every slice, given what precedes the piece in each (`carried`)."""
 
     def run(rows: pa.Table, carried: pa.Table) -> pa.Table:
-        ordered = rows.sort_by([("score", "descending"), ("relation_id", "ascending")])
+        # Spark's order: what is no number lies above all numbers
+        odd = pc.is_nan(rows.column("score")).cast(pa.int8())
+        ordered = rows.append_column("_odd", odd).sort_by(
+            [("_odd", "descending"), ("score", "descending"), ("relation_id", "ascending")]
+        )
         both = [rows_.select(list(keys)).to_pandas() for rows_ in (ordered, carried)]
         group = pd.concat(both, ignore_index=True).groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy()
         mine, theirs = group[: ordered.num_rows], group[ordered.num_rows :]
@@ -100,11 +105,10 @@ def sliced_average_precision(long: DataFrame, keys: Sequence[str], slices: Seque
     slice: one row per piece and slice. Ranks and hits are counted for all kinds where the rows lie.
     """
     keys = list(keys)
-    score = F.nanvl("score", F.lit(float("inf"))).alias("score")
     kinds = [f"_kind{i}" for i in range(len(slices))]
     codes = [F.when(s.isNotNull(), F.xxhash64(s)).alias(k) for s, k in zip(slices, kinds, strict=True)]
     met = [F.when(s.isNotNull(), F.struct(F.xxhash64(s).alias("code"), s.alias("slice"))) for s in slices]
-    wide = long.select(*keys, "relation_id", score, "target", F.array_compact(F.array(*met)).alias("_slices"), *codes)
+    wide = long.select(*keys, "relation_id", "score", "target", F.array_compact(F.array(*met)).alias("_slices"), *codes)
     cut = range_pieces(wide.drop("_slices"), [F.col("score").desc(), F.col("relation_id").asc()])
     names = wide.select(F.explode("_slices").alias("_s")).groupBy("_s.code").agg(
         F.min("_s.slice").alias("slice"), F.max("_s.slice").alias("_other")
