@@ -29,11 +29,51 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert found == {**dict.fromkeys(range(151), 0), 1000: 1000, **dict.fromkeys(range(2000, 2040), 1000)}
 
 
-def test_greedy_choice_takes_one_pair_per_round_if_it_must(spark):
+PAIRS = "sequence long, group long, source long, target long, margin double, score double"
+
+
+def plain_greedy(pairs):
+    out, used = set(), set()
+    for s, g, a, b, margin, score in sorted(pairs, key=lambda p: (-p[4], -p[5], p[2], p[3])):
+        if not {(s, g, 0, a), (s, g, 1, b)} & used:
+            used |= {(s, g, 0, a), (s, g, 1, b)}
+            out.add((s, g, a, b))
+    return out
+
+
+def links_of(df):
+    rows = df.collect()
+    found = {(r["sequence"], r["group"], r["source"], r["target"]) for r in rows}
+    assert len(found) == len(rows)
+    return found
+
+
+@pytest.mark.parametrize("task_pairs", [1, 3, 20, 1 << 20])
+def test_greedy_choice_is_the_same_in_tasks_components_and_rounds(spark, task_pairs):
+    rnd = random.Random(task_pairs)
     pairs = [(0, 0, i, i + d, 1.0 - 0.01 * (2 * i + d), 0.0) for i in range(8) for d in (0, 1)]
-    df = spark.createDataFrame(pairs, "sequence long, group long, source long, target long, margin double, score double")
-    assert {(r["source"], r["target"]) for r in recovery.greedy_links(df).collect()} == {(i, i) for i in range(8)}
-    assert recovery.greedy_links(df.where("false")).count() == 0
+    for group in range(1, 7):
+        ends = [(a, b) for a in range(group * 2) for b in range(group * 2) if rnd.random() < 1.5 / group]
+        pairs += [(1, group, a, b, rnd.choice([0.1, 0.2, 0.3]), rnd.choice([1.0, 2.0])) for a, b in ends]
+    df = spark.createDataFrame(pairs, PAIRS).repartition(3)
+    found = recovery.greedy_links(df, task_pairs=task_pairs)
+    assert found.columns == df.columns and links_of(found) == plain_greedy(pairs)
+    assert recovery.greedy_links(df.where("false"), task_pairs=task_pairs).count() == 0
+
+
+def test_a_long_chain_takes_a_fixed_number_of_jobs(spark):
+    """Margins that fall along a chain, so that every choice depends on the one before."""
+
+    def jobs(n):
+        pairs = [(0, 0, i, i + d, -0.001 * (2 * i + d), 0.0) for i in range(n) for d in (0, 1)]
+        df = spark.createDataFrame(pairs, PAIRS)
+        spark.sparkContext.setJobGroup(f"chain-{n}", "greedy links")
+        found = links_of(recovery.greedy_links(df))
+        assert found == {(0, 0, i, i) for i in range(n)}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain-{n}"))
+
+    assert jobs(5000) == jobs(5) <= 12
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_manifest_tree_over_many_nodes(spark):

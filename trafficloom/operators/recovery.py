@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficloom.functions.numbers import count_where, flag, ratio, sigmoid
 from trafficloom.operators import matching
+from trafficloom.plans.components import components
+from trafficloom.plans.lookup import lookup
 from trafficloom.plans.pinning import pin
 
+TASK_PAIRS = 1 << 18
 MODES = ("one_way", "all")
 
 
@@ -52,17 +56,84 @@ def fallback_candidates(
     return free.join(chosen, ends, "left_semi")
 
 
-def greedy_links(candidates: DataFrame, keys: Sequence[str] = ("sequence", "group")) -> DataFrame:
+def _place() -> Column:
+    """Sorts pairs into the order in which they are chosen."""
+    return F.struct((-F.col("margin")).alias("m"), (-F.col("score")).alias("s"), "source", "target")
+
+
+def _first_come(keys: Sequence[str]):
+    """Keeps, of pairs in order, those whose source and target no earlier pair of the group has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sources, targets = None, set(), set()
+        for batch in batches:
+            kept = []
+            columns = [batch.column(c).to_pylist() for c in (*keys, "source", "target")]
+            for *group, source, target in zip(*columns, strict=True):
+                if group != now:
+                    now, sources, targets = group, set(), set()
+                free = source not in sources and target not in targets
+                if free:
+                    sources.add(source)
+                    targets.add(target)
+                kept.append(free)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def _in_turn(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The greedy choice with every group in one task, which reads it in order and keeps the ends in use."""
+    dealt = candidates.repartition(*keys).sortWithinPartitions(*keys, _place())
+    return dealt.mapInArrow(_first_come(keys), candidates.schema)
+
+
+def greedy_links(
+    candidates: DataFrame, keys: Sequence[str] = ("sequence", "group"), task_pairs: int = TASK_PAIRS
+) -> DataFrame:
     """Greedy one-to-one choice in the order margin, score (both falling), source, target (both rising).
 
-    That order is strict, so a pair that comes first for its source and for its target is chosen whatever
-    happens elsewhere. Every round takes all such pairs of all groups at once and drops the pairs that touch
-    them, which gives the sequential result without ordering a group in one task. A round with open pairs takes at
-    least one of them, so the rounds end by themselves; taken and open pairs are one table, which only shrinks.
+    Groups of up to `task_pairs` pairs are chosen in turn, each in one task. Larger groups are parted first: pairs conflict only
+    within a connected component of sources and targets, so components are groups of their own. What is still larger
+    goes by rounds, which no task holds as a whole. All ways give the same choice.
+    """
+    keys, columns = list(keys), candidates.columns
+    pairs = pin(candidates)
+    over = F.col("_n") > task_pairs
+    large = pin(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(over).drop("_n"))
+    if large.isEmpty():
+        return _in_turn(pairs, keys)
+    # at most one large group per `task_pairs` pairs
+    chosen = _in_turn(pairs.join(F.broadcast(large), keys, "left_anti"), keys)
+
+    def node(side: int, end: str) -> Column:
+        return F.struct(*keys, F.lit(side).alias("side"), F.col(end).alias("end"))
+
+    rest = pin(
+        pairs.join(F.broadcast(large), keys, "left_semi").withColumns({"_u": node(0, "source"), "_v": node(1, "target")})
+    )
+    found = components(rest, "_u", "_v")
+    degrees = rest.groupBy(F.col("_u").alias("node")).agg(F.count(F.lit(1)).alias("_n"))
+    table = pin(degrees.join(found, "node").select(F.col("node").alias("_u"), F.col("component").alias("_c"), "_n"))
+    parted = pin(lookup(rest, table, "_u", "_n", "_v").select(*columns, "_c"))
+    sized = parted.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
+    huge = pin(sized.where(over).select("_c"))
+    chosen = chosen.unionByName(_in_turn(parted.join(F.broadcast(huge), "_c", "left_anti"), ["_c"]).select(*columns))
+    if huge.isEmpty():
+        return chosen
+    return chosen.unionByName(_rounds(parted.join(F.broadcast(huge), "_c", "left_semi").select(*columns), keys))
+
+
+def _rounds(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The greedy choice without ordering a group in one task.
+
+    The order is strict, so a pair that comes first for its source and for its target is chosen whatever happens
+    elsewhere. Every round takes all such pairs of all groups at once and drops the pairs that touch them. A round with
+    open pairs takes at least one of them, so the rounds end by themselves; taken and open pairs are one table, which only
+    shrinks.
     """
     keys = list(keys)
-    columns = candidates.columns
-    place = F.struct((-F.col("margin")).alias("m"), (-F.col("score")).alias("s"), "source", "target")
+    columns, place = candidates.columns, _place()
     state = pin(candidates.withColumn("_taken", F.lit(False)))
     while True:
         remaining = state.where("NOT _taken")
