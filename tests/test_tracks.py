@@ -2,6 +2,8 @@
 
 import random
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +115,40 @@ def test_sinkhorn_against_numpy(spark):
         assert r["weight"] == pytest.approx(np.exp(log[i, j]), abs=1e-9)
 
 
+@pytest.mark.parametrize(("task_cells", "chunk"), [(1 << 20, 1 << 16), (1 << 20, 1), (1 << 20, 37), (25, 10), (0, 10)])
+def test_sinkhorn_of_many_groups_in_tasks_and_rounds(spark, monkeypatch, task_cells, chunk):
+    monkeypatch.setattr(matching, "CHUNK_CELLS", chunk)
+    rng = np.random.default_rng(chunk)
+    scores, sources, targets, want = [], [], [], {}
+    for g in range(12 if task_cells else 3):
+        n, m = rng.integers(0, 6, 2)
+        s, a, b = rng.normal(size=(n, m)).round(2), rng.normal(size=n).round(2), rng.normal(size=m).round(2)
+        seen = rng.random((n, m)) < 0.7
+        full = np.full((n + 1, m + 1), 0.4)
+        full[:n, :m], full[:n, m], full[n, :m] = np.where(seen, s, -1e9), a, b
+        log = full / 0.10
+        for _ in range(8):
+            log = log - np.logaddexp.reduce(log, axis=1, keepdims=True)
+            log = log - np.logaddexp.reduce(log, axis=0, keepdims=True)
+        name = f"g{g}"
+        scores += [(7, name, i + 100, j, float(s[i, j])) for i in range(n) for j in range(m) if seen[i, j]]
+        sources += [(7, name, i + 100, float(a[i])) for i in range(n)]
+        targets += [(7, name, j, float(b[j])) for j in range(m)]
+        if n or m:
+            cells = [(i, j) for i in range(n) for j in range(m) if seen[i, j]] + [(i, m) for i in range(n)] + [(n, j) for j in range(m)] + [(n, m)]
+            want |= {(name, i + 100 if i < n else None, j if j < m else None): math.exp(log[i, j]) for i, j in cells}
+    kind = "sequence long, group string, "
+    soft = matching.sinkhorn(
+        spark.createDataFrame(scores, kind + "source long, target long, score double").repartition(3),
+        spark.createDataFrame(sources, kind + "source long, source_dustbin double"),
+        spark.createDataFrame(targets, kind + "target long, target_dustbin double"),
+        corner=0.4,
+        task_cells=task_cells,
+    )
+    got = {(r["group"], r["source"], r["target"]): r["weight"] for r in soft.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_availability_and_predicted_geometry(spark):
     frames = [0, 5, 10, 15, 20]
     rows = spark.createDataFrame(

@@ -8,10 +8,14 @@ without candidates chooses the dustbin.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trafficloom.functions.numbers import add, clip, count_where, flag, ratio, sigmoid
 from trafficloom.functions.paths import path_distance
@@ -23,6 +27,8 @@ from trafficloom.plans.ordered import positions
 from trafficloom.plans.pinning import pin
 
 MISSING = -1
+TASK_CELLS = 1 << 20
+CHUNK_CELLS = 1 << 16
 
 
 def _best(scores: DataFrame, everyone: DataFrame, keys: Sequence[str], own: str, other: str) -> DataFrame:
@@ -416,6 +422,61 @@ def geometry_vector(measured: DataFrame, size: int = 5) -> DataFrame:
     return measured.withColumn("geometry", vector.cast("array<float>"))
 
 
+def _normalised(value: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials of every code, given to each of its entries."""
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    length = np.diff(np.append(starts, len(codes)))
+    top = np.maximum.reduceat(value[order], starts)
+    summed = top + np.log(np.add.reduceat(np.exp(value[order] - np.repeat(top, length)), starts))
+    out = np.empty(len(value))
+    out[order] = np.repeat(summed, length)
+    return out
+
+
+def _balanced_groups(keys: Sequence[str], iterations: int):
+    """All rounds for the groups of a partition, some whole groups at a time."""
+
+    def weights(cells: pa.Table) -> pa.RecordBatch:
+        frame = cells.select([*keys, "_i", "_j"]).to_pandas()
+        rows = frame.groupby([*keys, "_i"], sort=False, dropna=False).ngroup().to_numpy()
+        columns = frame.groupby([*keys, "_j"], sort=False, dropna=False).ngroup().to_numpy()
+        value = cells.column("_s").to_numpy()
+        u = v = np.zeros(len(value))
+        for _ in range(iterations):
+            u = _normalised(value - v, rows)
+            v = _normalised(value - u, columns)
+        whole = cells.drop_columns(["_s"]).append_column("weight", pa.array(np.exp(value - u - v)))
+        return whole.combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size >= CHUNK_CELLS:
+                cells = pa.Table.from_batches(held)
+                last = [cells.column(k)[-1] for k in keys]
+                # the last group may go on
+                same = np.ones(cells.num_rows, dtype=bool)
+                for k, value in zip(keys, last, strict=True):
+                    column = cells.column(k)
+                    equal = pc.equal(column, value) if value.is_valid else pc.is_null(column)
+                    same &= pc.fill_null(equal, False).to_numpy()
+                open_from = int(np.argmax(same))
+                if open_from:
+                    yield weights(cells.slice(0, open_from))
+                held = cells.slice(open_from).combine_chunks().to_batches()
+                size = sum(b.num_rows for b in held)
+        if size:
+            yield weights(pa.Table.from_batches(held))
+
+    return run
+
+
 def sinkhorn(
     scores: DataFrame,
     sources: DataFrame,
@@ -424,24 +485,48 @@ def sinkhorn(
     temperature: float = 0.10,
     iterations: int = 8,
     corner: float = 0.0,
+    task_cells: int = TASK_CELLS,
 ) -> DataFrame:
     """Soft assignment over candidates and dustbins; `source` or `target` is null for a dustbin.
 
-    The normalisations subtract one number per source row and one per target column, so only these two
-    vectors change from round to round. Pairs without a row weigh exp(-1e5) = 0.
+    The normalisations subtract one number per source row and one per target column, so only these two vectors change
+    from round to round. Pairs without a row weigh exp(-1e5) = 0. Groups of up to `task_cells` cells go through all rounds in
+    one task each, after one exchange; larger ones have every round distributed.
     """
     keys = list(keys)
-    row_id, column_id = [*keys, "_i"], [*keys, "_j"]
     none = F.lit(MISSING).cast("long")
-    i, j = F.col("source").alias("_i"), F.col("target").alias("_j")
+    i, j = F.col("source").cast("long").alias("_i"), F.col("target").cast("long").alias("_j")
     corners = sources.select(*keys).union(targets.select(*keys)).distinct()
     cells = (
-        scores.select(*keys, i, j, F.col("score").alias("_s"))
+        scores.select(*keys, i, j, F.col("score").cast("double").alias("_s"))
         .union(sources.select(*keys, i, none.alias("_j"), F.col("source_dustbin")))
         .union(targets.select(*keys, none.alias("_i"), j, F.col("target_dustbin")))
         .union(corners.select(*keys, none.alias("_i"), none.alias("_j"), F.lit(corner)))
     )
     scaled = pin(cells.withColumn("_s", F.col("_s") / temperature))
+    sized = scaled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = pin(sized.where(F.col("_n") > task_cells).drop("_n"))
+
+    def shown(column: str) -> Column:
+        return F.when(F.col(column) != MISSING, F.col(column))
+
+    def told(found: DataFrame) -> DataFrame:
+        return found.select(*keys, shown("_i").alias("source"), shown("_j").alias("target"), "weight")
+
+    if large.isEmpty():
+        small, rest = scaled, None
+    else:
+        # at most one large group per `task_cells` cells
+        small = scaled.join(F.broadcast(large), keys, "left_anti")
+        rest = _by_rounds(pin(scaled.join(F.broadcast(large), keys, "left_semi")), keys, iterations)
+    schema = T.StructType([*small.drop("_s").schema.fields, T.StructField("weight", T.DoubleType())])
+    inside = small.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_balanced_groups(keys, iterations), schema)
+    return told(inside if rest is None else inside.unionByName(rest))
+
+
+def _by_rounds(scaled: DataFrame, keys: list[str], iterations: int) -> DataFrame:
+    """(*keys, _i, _j, weight) of groups that no task holds as a whole, one distributed round after the other."""
+    row_id, column_id = [*keys, "_i"], [*keys, "_j"]
 
     def log_sums(ids: list[str], value: Column, rows: DataFrame, name: str) -> DataFrame:
         """Log of the sum of exponentials per id: the largest value first, then the rest relative to it."""
@@ -460,13 +545,4 @@ def sinkhorn(
         over_rows = log_sums(row_id, value, shifted, "_u")
         over_columns = pin(log_sums(column_id, F.col("_s") - F.col("_u"), scaled.join(over_rows, row_id), "_v"))
     finished = scaled.join(over_rows, row_id).join(over_columns, column_id)
-
-    def shown(column: str) -> Column:
-        return F.when(F.col(column) != MISSING, F.col(column))
-
-    return finished.select(
-        *keys,
-        shown("_i").alias("source"),
-        shown("_j").alias("target"),
-        F.exp(F.col("_s") - F.col("_u") - F.col("_v")).alias("weight"),
-    )
+    return finished.select(*keys, "_i", "_j", F.exp(F.col("_s") - F.col("_u") - F.col("_v")).alias("weight"))
