@@ -67,6 +67,41 @@ def test_removed_bytes(spark, monkeypatch, seed, parts):
     assert got(repeats.remove_repeats(table(spark, rows, parts))) == brute(rows)
 
 
+@pytest.mark.parametrize("bound", [0, 60, 400])
+def test_groups_parted_by_longer_anchors(spark, monkeypatch, bound):
+    """A bound so small that every group is parted, a frequent string with ever new surroundings among them."""
+    monkeypatch.setattr(repeats, "GROUP_BYTES", bound)
+    rnd = random.Random(bound)
+    make = lambda k: "".join(rnd.choices("abcdefgh ", k=k))
+    frequent, longer = make(20), make(47)
+    rows = corpus(9, 50)
+    rows += [(400 + i, make(40) + frequent + make(40)) for i in range(60)]
+    rows += [(500 + i, make(10) + longer + make(rnd.randint(3, 10))) for i in range(40)]
+    rows += [(600 + i, make(5) + longer + "same" + make(5)) for i in range(10)]
+    rows += [(700, "a" * 3000), (701, "b" + "a" * 700 + "c"), (702, "ab" * 400), (703, None), (None, rows[3][1])]
+    assert got(repeats.remove_repeats(table(spark, rows, 3))) == brute(rows)
+
+
+def test_covers_are_those_of_one_array(monkeypatch):
+    rnd = random.Random(8)
+    strings, base = {}, "".join(rnd.choices("abc", k=300))
+    for rank in range(80):
+        a, b = rnd.randint(0, 200), rnd.randint(40, 90)
+        text = ("".join(rnd.choices("abc", k=20)) + base[a : a + b] + "".join(rnd.choices("abc", k=20))).encode()
+        strings.setdefault(text, []).append((rank, rank, 5))
+
+    def covered(bound):
+        monkeypatch.setattr(repeats, "GROUP_BYTES", bound)
+        covers = repeats._Covers(32)
+        seen = defaultdict(set)
+        for key, _, a, b in [*covers.add(strings), *covers.rest()]:
+            seen[key] |= set(range(a, b))
+        return seen
+
+    whole = covered(1 << 30)
+    assert whole and all(covered(bound) == whole for bound in (0, 100, 1000, 4000))
+
+
 def test_low_variety(spark):
     rows = corpus(5, 40, "ab")
     rows += [(300 + i, "ab" * i) for i in range(20, 40)]

@@ -33,7 +33,7 @@ LENGTH = 50
 ANCHOR = 16
 LONGEST_RUN = 512
 SLICE = 8 << 20
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 NO_ID = (1 << 63) - 1
 PART_BYTES = 16 << 20
 _ANCHORS = "part long, several boolean, keys binary, counts binary, anchors binary"
@@ -45,20 +45,20 @@ _CUT = "_text_key long, _rank long, n_removed long, n_spans long, cut_sha string
 _REPEATS = "repeat_id long, length long, doc_id long, start long"
 
 
-def anchors(text: bytes, length: int) -> np.ndarray:
-    """Anchor of every window of the text; empty for a text shorter than a window."""
+def anchors(text: bytes, length: int, size: int = ANCHOR) -> np.ndarray:
+    """Anchor of every window of the text, the least hash of its strings of `size` bytes; empty for a text shorter than a window."""
     n = len(text)
     if n < length:
         return np.empty(0, dtype=np.uint64)
     words = np.ndarray(shape=(n - 7,), dtype="<u8", buffer=text, strides=(1,))
-    h = np.zeros(n - ANCHOR + 1, dtype=np.uint64)
-    for at in (*range(0, ANCHOR - 8, 8), ANCHOR - 8):
+    h = np.zeros(n - size + 1, dtype=np.uint64)
+    for at in (*range(0, size - 8, 8), size - 8):
         h += words[at : at + len(h)]
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(32)
-    width, reach = length - ANCHOR + 1, 1
+    width, reach = length - size + 1, 1
     while reach * 2 <= width:
         h = np.minimum(h[:-reach], h[reach:])
         reach *= 2
@@ -77,6 +77,15 @@ def runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, sizes
 
 
+def sizes(length: int) -> tuple[int, ...]:
+    """Sizes of the strings that anchors are taken from, ever longer, until a window is its own anchor.
+
+    The longer the string, the less may differ around it: windows that only share a frequent short string part.
+    """
+    slack = length - ANCHOR
+    return ANCHOR, length - slack // 2, length - slack // 6, length
+
+
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -339,49 +348,89 @@ def _arrays(part: list[tuple], length: int) -> tuple[dict[bytes, list[tuple]], l
 _COLUMNS = ("anchor", "_text_key", "_rank", "start", "content", "size")
 
 
+class _Covers:
+    """Bytes of strings that also stand in a smaller document, as (text_key, rank, start, stop).
+
+    Strings come by anchor, as places (rank, text_key, start) by content. Small groups are gathered into one suffix array; a
+    group above GROUP_BYTES is parted by anchors from longer strings until it is small. Equal windows stay together
+    on the way, and a whole window is its own anchor in the end, so nothing is lost and no array is larger.
+    """
+
+    def __init__(self, length: int) -> None:
+        self.length, self.sizes = length, sizes(length)
+        self.held: dict[bytes, list[tuple]] = {}
+        self.weight = 0
+
+    def add(self, strings: dict[bytes, list[tuple]], level: int = 0) -> Iterator[tuple]:
+        """What is known already; the rest follows with `rest` or a later group."""
+        least = {}
+        for content, found in strings.items():
+            rank = min(found)[0]
+            yield from ((k, r, a, a + len(content)) for r, k, a in found if r > rank)
+            least[content] = [place for place in found if place[0] == rank]
+        if len(least) < 2:
+            return
+        weight = sum(map(len, least))
+        if weight > GROUP_BYTES and level + 1 < len(self.sizes):
+            for part in self._parted(least, self.sizes[level + 1]):
+                yield from self.add(part, level + 1)
+            return
+        if self.weight and self.weight + weight > GROUP_BYTES:
+            yield from self.rest()
+        self.held |= least
+        self.weight += weight
+
+    def _parted(self, strings: dict[bytes, list[tuple]], size: int) -> Iterator[dict[bytes, list[tuple]]]:
+        found: dict[int, dict[bytes, list[tuple]]] = {}
+        for content, places in strings.items():
+            values = anchors(content, self.length, size)
+            begins, counts = runs(values)
+            for a, n in zip(begins.tolist(), counts.tolist(), strict=True):
+                part = found.setdefault(int(values[a]), {}).setdefault(content[a : a + n + self.length - 1], [])
+                part.extend((r, k, start + a) for r, k, start in places)
+        while found:
+            yield found.popitem()[1]
+
+    def rest(self) -> Iterator[tuple]:
+        if not self.held:
+            return
+        places, strings = self.held, sorted(self.held)
+        array = Array(strings, self.length)
+        owner = np.array([places[s][0][0] for s in strings], dtype=np.int64)
+        ranks, opened, closed = owner[array.string], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        for size, first, last, least in array.repeats(owner):
+            begin = array.start[first : last + 1][ranks[first : last + 1] > least]
+            opened.append(begin)
+            closed.append(begin + size)
+        n = len(array.text) + 1
+        cover = np.bincount(np.concatenate(opened), minlength=n) - np.bincount(np.concatenate(closed), minlength=n)
+        covered = np.cumsum(cover) > 0
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
+        begins, ends = edges[::2], edges[1::2]
+        owning = np.searchsorted(array.begins, begins, side="right") - 1
+        for s, a, b in zip(owning.tolist(), begins.tolist(), ends.tolist(), strict=True):
+            shift = int(array.begins[s])
+            for rank, text_key, start in places[strings[s]]:
+                yield text_key, rank, start + a - shift, start + b - shift
+        self.held, self.weight = {}, 0
+
+
 def _span_rows(length: int):
     """Bytes that also stand in a smaller document, as spans of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def decided(rows: Iterator[tuple], spans: list[tuple]) -> Iterator[tuple]:
-            for row in rows:
-                if row[4] is None:
-                    spans.append((row[1], row[2], row[3], row[3] + row[5]))
-                else:
-                    yield row
-
         def rows() -> Iterator[tuple]:
-            spans: list[tuple] = []
-            for part in _groups(decided(rows_of(_unpacked(batches), *_COLUMNS), spans)):
-                yield from spans
-                spans.clear()
-                places, strings = _arrays(part, length)
-                for content, found in places.items():
-                    least = min(found)[0]
-                    yield from ((k, r, a, a + len(content)) for r, k, a in found if r > least)
-                if strings:
-                    yield from inside(places, strings)
-            yield from spans
-
-        def inside(places: dict[bytes, list[tuple]], strings: list[bytes]) -> Iterator[tuple]:
-            array = Array(strings, length)
-            owner = np.array([min(places[s])[0] for s in strings], dtype=np.int64)
-            ranks, opened, closed = owner[array.string], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-            for size, first, last, least in array.repeats(owner):
-                begin = array.start[first : last + 1][ranks[first : last + 1] > least]
-                opened.append(begin)
-                closed.append(begin + size)
-            n = len(array.text) + 1
-            cover = np.bincount(np.concatenate(opened), minlength=n) - np.bincount(np.concatenate(closed), minlength=n)
-            covered = np.cumsum(cover) > 0
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
-            begins, ends = edges[::2], edges[1::2]
-            owning = np.searchsorted(array.begins, begins, side="right") - 1
-            for s, a, b in zip(owning.tolist(), begins.tolist(), ends.tolist(), strict=True):
-                shift = int(array.begins[s])
-                for rank, text_key, start in places[strings[s]]:
-                    if rank == owner[s]:
-                        yield text_key, rank, start + a - shift, start + b - shift
+            covers, last, group = _Covers(length), None, {}
+            for anchor, text_key, rank, start, content, size in rows_of(_unpacked(batches), *_COLUMNS):
+                if content is None:
+                    yield text_key, rank, start, start + size
+                    continue
+                if anchor != last:
+                    yield from covers.add(group)
+                    last, group = anchor, {}
+                group.setdefault(content, []).append((rank, text_key, start))
+            yield from covers.add(group)
+            yield from covers.rest()
 
         return emitted(_SPANS, rows(), size=20_000)
 
