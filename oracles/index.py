@@ -105,13 +105,25 @@ cte("asgs", "SELECT DISTINCT i.source_sample, s.sequence FROM asix i JOIN smp s
 cte("tixk", "SELECT * FROM tixall WHERE state = 'kept'")
 _AUDIT = " UNION ALL ".join(
     [
-        _audit("feat", {"objects": "true", "complete_objects": "complete"}),
+        _audit(
+            "feat",
+            {
+                "objects": "true",
+                "complete_objects": "complete",
+                **{f"class_{c}": f"complete AND category = {c}" for c in range(12)},
+            },
+        ),
         _audit("sixall", {"spatial_examples": "true", **{p: p for p in _SP}}),
         _audit("tixk", {"temporal_examples": "true", **{p: p for p in _TP}}),
         _audit("asgs", {"association_sample_pairs": "true"}),
     ]
 )
 
+_ERRORS = f"""SELECT w.split, CASE WHEN w.counter LIKE '%examples' OR w.counter LIKE 'association%' THEN 'empty_task' ELSE 'unsupported_predicate' END AS error, w.counter
+FROM w LEFT JOIN aud a ON a.split = w.split AND a.counter = w.counter AND a.sequence = 'ALL' WHERE coalesce(a.value, 0) = 0"""
+_WANTED = f"""WITH aud AS ({_AUDIT}), asked AS (SELECT DISTINCT split FROM split UNION SELECT 'unassigned' AS split),
+w AS (SELECT split, counter FROM asked, (VALUES {', '.join(f"('{n}')" for n in ['spatial_examples', 'temporal_examples', 'association_sample_pairs', *_SP, *_TP])}) v(counter))"""
+
 SQL = {
     "ri_complete_rows": sql("SELECT feature_row, annotation_token, category FROM feat WHERE complete"),
     "ri_feature_timeline": sql("SELECT feature_row, sample_token, sample_index, timestamp_ns FROM feat"),
@@ -185,11 +197,17 @@ SELECT category, count, {r6('CASE WHEN count > 0 THEN least(raw / avg(raw) OVER
 FROM ({_pos('sp_rel', _SP)} UNION ALL {_pos('tp_rel', _TP)})"""
     ),
     "ri_multimodal_audit": sql(_AUDIT),
-    "ri_audit_errors": sql(
-        f"""WITH aud AS ({_AUDIT}),
-w AS (SELECT split, counter FROM (SELECT DISTINCT split FROM split UNION SELECT 'unassigned' AS split) , (VALUES {', '.join(f"('{n}')" for n in ['spatial_examples', 'temporal_examples', 'association_sample_pairs', *_SP, *_TP])}) v(counter))
-SELECT w.split, CASE WHEN w.counter LIKE '%examples' OR w.counter LIKE 'association%' THEN 'empty_task' ELSE 'unsupported_predicate' END AS error, w.counter
-FROM w LEFT JOIN aud a ON a.split = w.split AND a.counter = w.counter AND a.sequence = 'ALL' WHERE coalesce(a.value, 0) = 0"""
+    "ri_audit_errors": sql(f"{_WANTED} {_ERRORS}"),
+    "ri_audit_summary": sql(
+        f"""{_WANTED}, err AS ({_ERRORS}),
+num AS (SELECT k.split, coalesce(sum(a.value) FILTER (a.counter = 'objects'), 0)::BIGINT AS objects,
+    coalesce(sum(a.value) FILTER (a.counter = 'complete_objects'), 0)::BIGINT AS complete_objects,
+    (SELECT count(*) FROM err e WHERE e.split = k.split) AS errors
+  FROM asked k LEFT JOIN aud a ON a.split = k.split AND a.sequence = 'ALL' GROUP BY k.split),
+every AS (SELECT * FROM num UNION ALL SELECT 'ALL', sum(objects)::BIGINT, sum(complete_objects)::BIGINT, sum(errors)::BIGINT FROM num)
+SELECT split, objects, complete_objects, errors,
+  round(CASE WHEN objects > 0 THEN 100.0::DOUBLE * complete_objects / objects ELSE 0.0::DOUBLE END, 6) + 0.0::DOUBLE AS complete_percent, errors = 0 AS passed
+FROM every"""
     ),
     "ri_vocabulary_audit": sql(
         """WITH want AS (SELECT 'c' || (p_size % 3) AS label FROM part UNION SELECT lower(p_type) FROM part)

@@ -5,7 +5,8 @@ from oracles.base import r6, sql
 SQL = {
     "src_file_index": sql("SELECT sequence, day AS frame, 16 * count(*) AS length FROM ev GROUP BY sequence, day"),
     "src_keyed_text": sql(
-        f"""SELECT 'P_' || event_id AS key, 2 AS count, {r6('value', 'first')}, {r6('k::DOUBLE', 'second')} FROM ev WHERE event_type NOT IN ('view', 'error')"""
+        f"""SELECT sequence, 'P_' || k AS key, 2 AS count, {r6('arg_max(value, event_id)', 'first')}, {r6('max(event_id)::DOUBLE', 'second')}
+FROM ev WHERE event_type NOT IN ('view', 'error') GROUP BY sequence, k"""
     ),
     "src_pose_text": sql(
         f"""SELECT event_id AS frame, 16 AS entries, 1.0::DOUBLE AS m0, {r6('value', 'm3')}, {r6('k::DOUBLE', 'm7')}, 0.5::DOUBLE AS m11, 1.0::DOUBLE AS m15 FROM ev WHERE event_type <> 'view'"""

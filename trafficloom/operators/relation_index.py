@@ -385,10 +385,12 @@ def multimodal_audit(
     temporal: DataFrame,
     associations: DataFrame,
     splits: DataFrame,
+    classes: Sequence[int] = (),
 ) -> DataFrame:
     """(split, sequence, counter, value) with `ALL` sequence totals, and error counters per split.
 
-    The three indices carry `sequence` and the label columns; `associations` has one row per kept group.
+    The three indices carry `sequence` and the label columns; `associations` has one row per kept group. Complete objects
+    are also counted per class, as `class_<category>`, for the classes asked for.
     """
     seen = [F.count(F.lit(1)).alias("n")]
 
@@ -403,7 +405,14 @@ def multimodal_audit(
         return rolled.unpivot(["split", "sequence"], list(aggregates), "counter", "value")
 
     parts = [
-        long(features, {"objects": seen[0], "complete_objects": count_where(is_complete())}),
+        long(
+            features,
+            {
+                "objects": seen[0],
+                "complete_objects": count_where(is_complete()),
+                **{f"class_{c}": count_where(is_complete() & (F.col("category") == c)) for c in classes},
+            },
+        ),
         long(spatial, {"spatial_examples": seen[0], **{p: count_where(F.col(p)) for p in SPATIAL_PREDICATES}}),
         long(temporal, {"temporal_examples": seen[0], **{p: count_where(F.col(p)) for p in TEMPORAL_PREDICATES}}),
         long(associations, {"association_sample_pairs": seen[0]}),
@@ -425,6 +434,26 @@ def audit_errors(audit: DataFrame, splits: DataFrame) -> DataFrame:
     )
 
 
+def audit_summary(audit: DataFrame, errors: DataFrame, splits: DataFrame) -> DataFrame:
+    """(split, objects, complete_objects, complete_percent, errors, passed) of every split, and of all of them as `ALL`.
+
+    A split without objects is 0 percent complete; the audit as a whole passes when no split has an error.
+    """
+    wanted = splits.select("split").distinct()
+    value = [F.sum(F.when(F.col("counter") == c, F.col("value"))).alias(c) for c in ("objects", "complete_objects")]
+    counted = audit.where((F.col("sequence") == "ALL") & F.col("counter").isin("objects", "complete_objects"))
+    found = errors.groupBy("split").agg(F.count(F.lit(1)).alias("errors"))
+    each = (
+        wanted.join(counted.groupBy("split").agg(*value), "split", "left")
+        .join(found, "split", "left")
+        .na.fill(0, ["objects", "complete_objects", "errors"])
+    )
+    sums = [F.sum(c).alias(c) for c in ("objects", "complete_objects", "errors")]
+    rolled = each.rollup("split").agg(*sums).withColumn("split", F.coalesce("split", F.lit("ALL")))
+    percent = F.coalesce(100.0 * F.try_divide("complete_objects", "objects"), F.lit(0.0))
+    return rolled.withColumns({"complete_percent": percent, "passed": F.col("errors") == 0})
+
+
 def vocabulary_audit(categories: DataFrame, configured: DataFrame) -> DataFrame:
     """(finding, label): labels that are not configured, never seen, or used with several semantic ids."""
     observed, wanted = categories.select("label").distinct(), configured.select("label").distinct()

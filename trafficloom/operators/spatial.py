@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trafficloom.functions.boxes import box_array, has_area, overlap_over_smaller
@@ -352,23 +352,81 @@ def parts_summary(
     )
 
 
-def validate_part(
-    rels: DataFrame,
-    vocabulary: Sequence[str] = SPATIAL_PREDICATES,
-    required: Sequence[str] = ("raw_frame_index", "filename", "positive_predicates", "predicate_vector"),
-) -> DataFrame:
-    """(rule, violations) over all rows of a part."""
+FILLED = ("raw_frame_index", "filename", "positive_predicates", "predicate_vector", "occlusion_mask_supported")
+PRESENT = ("subject_box", "object_box")
+
+
+def part_rules(columns: Sequence[str], vocabulary: Sequence[str] = SPATIAL_PREDICATES) -> dict[str, Column]:
+    """Violations by rule of a part with these columns, as aggregates over its rows.
+
+    The FILLED fields must be there in every row, the PRESENT ones may be null, as a box is where an object is not seen. A
+    field that is no column at all counts once, and its rule on rows rests.
+    """
     allowed = F.array(*[F.lit(p) for p in vocabulary])
     expected_vector = F.array(*[F.array_contains("positive_predicates", p).cast("int") for p in vocabulary])
     absent = F.lit(False)
-    for name in required:
-        absent = absent | F.col(name).isNull()
-    rules = {
+    for name in FILLED:
+        if name in columns:
+            absent = absent | F.col(name).isNull()
+    labels, vector = "positive_predicates" in columns, "predicate_vector" in columns
+    none = F.sum(F.lit(0)).cast("long")
+    disagrees = ~F.col("predicate_vector").eqNullSafe(expected_vector)
+    return {
         "no_candidates": flag(F.count(F.lit(1)) == 0),
+        "missing_column": F.lit(sum(c not in columns for c in (*FILLED, *PRESENT))).cast("long") + flag(F.count(F.lit(1)) < 0),
         "missing_required_field": count_where(absent),
-        "wrong_vector_length": count_where(F.size("predicate_vector") != len(vocabulary)),
-        "label_outside_vocabulary": count_where(F.size(F.array_except("positive_predicates", allowed)) > 0),
-        "vector_disagrees_with_labels": count_where(F.col("predicate_vector") != expected_vector),
+        "wrong_vector_length": count_where(F.size("predicate_vector") != len(vocabulary)) if vector else none,
+        "label_outside_vocabulary": (
+            count_where(F.size(F.array_except("positive_predicates", allowed)) > 0) if labels else none
+        ),
+        "vector_disagrees_with_labels": count_where(disagrees) if labels and vector else none,
+    }
+
+
+def report_rules(schema_version: str, vocabulary: Sequence[str] = SPATIAL_PREDICATES) -> dict[str, Column]:
+    """Violations by rule of the reports (schema_version, passed, relation_candidates, counted_predicates, predicate_order,
+    canonical_inverse) that come with parts; a null breaks its rule."""
+    order = F.array(*[F.lit(p) for p in vocabulary])
+
+    def unless(condition: Column) -> Column:
+        return count_where(~F.coalesce(condition, F.lit(False)))
+
+    return {
+        "missing_report": flag(F.count(F.lit(1)) == 0),
+        "wrong_schema_version": unless(F.col("schema_version") == schema_version),
+        "build_failed": unless(F.col("passed")),
+        "no_reported_candidates": unless(F.col("relation_candidates") > 0),
+        "wrong_predicate_vocabulary": unless(F.col("counted_predicates") == order),
+        "wrong_predicate_order": unless(F.col("predicate_order") == order),
+        "missing_canonical_inverse_encoding": unless(F.col("canonical_inverse")),
     }
-    one_row = rels.agg(*[rule.alias(name) for name, rule in rules.items()])
-    return one_row.unpivot([], list(rules), "rule", "violations")
+
+
+def _told(rows: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    one_row = rows.agg(*[rule.alias(name) for name, rule in rules.items()])
+    return one_row.na.fill(0).unpivot([], list(rules), "rule", "violations")
+
+
+def validate_part(rels: DataFrame, vocabulary: Sequence[str] = SPATIAL_PREDICATES) -> DataFrame:
+    """(rule, violations) over all rows of a part."""
+    return _told(rels, part_rules(rels.columns, vocabulary))
+
+
+def validate_reports(
+    reports: DataFrame, schema_version: str, vocabulary: Sequence[str] = SPATIAL_PREDICATES
+) -> DataFrame:
+    """(rule, violations) over the reports of parts."""
+    return _told(reports, report_rules(schema_version, vocabulary))
+
+
+def write_part(
+    rels: DataFrame, path: str, vocabulary: Sequence[str] = SPATIAL_PREDICATES, by: str = "sequence"
+) -> DataFrame:
+    """(rule, violations) of a part that is written to `path` as Parquet: counted by the pass that writes, not by another."""
+    rules = part_rules(rels.columns, vocabulary)
+    seen = Observation()
+    watched = rels.observe(seen, *[rule.alias(name) for name, rule in rules.items()])
+    watched.write.partitionBy(*([by] if by in rels.columns else [])).parquet(path)
+    counted = seen.get
+    rows = [(name, int(counted[name] or 0)) for name in rules]
+    return rels.sparkSession.createDataFrame(rows, "rule string, violations long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -42,14 +42,20 @@ def _numbers(text: Column) -> Column:
     return F.transform(words, lambda w: w.try_cast("double"))
 
 
-def keyed_numbers(lines: DataFrame, value: str = "value") -> DataFrame:
-    """`key: numbers` lines; lines without a colon or with anything but numbers are skipped."""
+def keyed_numbers(lines: DataFrame, value: str = "value", order: str | None = None, by: Sequence[str] = ("path",)) -> DataFrame:
+    """`key: numbers` lines; lines without a colon or with anything but numbers are skipped.
+
+    With `order`, a column that places the lines of a file (`by`), the last sound line of a key wins and the others go.
+    """
     parts = lines.where(F.col(value).contains(":")).select(
         *[c for c in lines.columns if c != value],
         F.trim(F.substring_index(value, ":", 1)).alias("key"),
         _numbers(F.expr(f"substr(`{value}`, instr(`{value}`, ':') + 1)")).alias("numbers"),
     )
-    return parts.where(F.forall("numbers", lambda n: n.isNotNull()))
+    sound = parts.where(F.forall("numbers", lambda n: n.isNotNull()))
+    if order is None:
+        return sound
+    return sound.groupBy(*by, "key").agg(F.max_by("numbers", order).alias("numbers"))
 
 
 def pose_lines(lines: DataFrame, value: str = "value", strict: bool = True) -> DataFrame:

@@ -13,6 +13,7 @@ from trafficloom.workload import association_queries, spatial_queries, tables, t
 from trafficloom.workload.common import joined, registry, rounded
 
 QUERIES, query = registry()
+CLASSES = range(12)
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,7 +181,7 @@ def _audit(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         .join(tables.samples(spark, sf).select(F.col("token").alias("source_sample"), "sequence"), "source_sample")
     )
     splits = tables.splits(spark, sf)
-    return ri.multimodal_audit(rows, spatial, temporal, groups, splits), splits
+    return ri.multimodal_audit(rows, spatial, temporal, groups, splits, CLASSES), splits
 
 
 @query
@@ -188,16 +189,28 @@ def ri_multimodal_audit(spark, sf):
     return _audit(spark, sf)[0]
 
 
-@query
-def ri_audit_errors(spark, sf):
-    """Empty tasks and unsupported predicates when one more split than the data has is asked for."""
-    audit, splits = _audit(spark, sf)
-    asked = splits.unionByName(
+def _asked(spark: SparkSession, sf: str, splits: DataFrame) -> DataFrame:
+    """The splits and one more than the data has."""
+    return splits.unionByName(
         tables.read(spark, sf, "orders").select(
             (F.col("o_orderkey") % 6).alias("sequence"), F.lit("unassigned").alias("split")
         ).distinct()
     )
-    return ri.audit_errors(audit, asked)
+
+
+@query
+def ri_audit_errors(spark, sf):
+    """Empty tasks and unsupported predicates when one more split than the data has is asked for."""
+    audit, splits = _audit(spark, sf)
+    return ri.audit_errors(audit, _asked(spark, sf, splits))
+
+
+@query
+def ri_audit_summary(spark, sf):
+    """Share of complete objects, errors and verdict of those splits."""
+    audit, splits = _audit(spark, sf)
+    kept, asked = pin(audit), _asked(spark, sf, splits)
+    return rounded(ri.audit_summary(kept, ri.audit_errors(kept, asked), asked), "complete_percent")
 
 
 @query

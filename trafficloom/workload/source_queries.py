@@ -53,17 +53,28 @@ def src_file_index(spark, sf):
 
 @query
 def src_keyed_text(spark, sf):
-    """Calibration lines of every user; users without errors write a comment, some values are no numbers."""
+    """One calibration file per sequence, its lines in order of the events: a key comes again with every event of its user's
+    number; views write a comment, values of errors are no numbers."""
+    key = F.concat(F.lit("P_"), F.col("k"))
     lines = tables.events(spark, sf).select(
-        F.when(
-            F.col("event_type") == "view", _words(F.lit("# note"), F.col("event_id").cast("string"))
-        )
-        .when(F.col("event_type") == "error", F.concat(F.lit("bad_"), F.col("event_id"), F.lit(": 1.0 x 2.0")))
-        .otherwise(F.concat(F.lit("P_"), F.col("event_id"), F.lit(":  "), _words(F.col("value").cast("string"), F.col("k").cast("string"))))
-        .alias("value")
+        "sequence",
+        "event_id",
+        F.when(F.col("event_type") == "view", _words(F.lit("# note"), F.col("event_id").cast("string")))
+        .when(F.col("event_type") == "error", F.concat(key, F.lit(": 1.0 x 2.0")))
+        .otherwise(F.concat(key, F.lit(":  "), _words(F.col("value").cast("string"), F.col("event_id").cast("string"))))
+        .alias("value"),
+    )
+    path = scratch_path(spark, "calibration")
+    ordered = lines.repartition("sequence").sortWithinPartitions("sequence", "event_id")
+    ordered.select("sequence", "value").write.partitionBy("sequence").text(path)
+    found = readers.keyed_numbers(readers.text_lines(spark, path), order="line")
+    return found.select(
+        F.regexp_extract("path", r"sequence=(\d+)", 1).cast("long").alias("sequence"),
+        "key",
+        F.size("numbers").alias("count"),
+        r6(F.get("numbers", F.lit(0)), "first"),
+        r6(F.get("numbers", F.lit(1)), "second"),
     )
-    found = readers.keyed_numbers(spark.read.text(_written(lines, "calibration")))
-    return found.select("key", F.size("numbers").alias("count"), r6(F.get("numbers", F.lit(0)), "first"), r6(F.get("numbers", F.lit(1)), "second"))
 
 
 @query

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trafficloom.operators import spatial
 from trafficloom.params import SPATIAL_PREDICATES
+from trafficloom.plans.pinning import scratch_path
 from trafficloom.workload import tables
 from trafficloom.workload.common import joined, r6, registry, rounded
 
@@ -131,7 +132,30 @@ def sp_parts_summary(spark, sf):
 
 @query
 def sp_validate_part(spark, sf):
-    return spatial.validate_part(relations(spark, sf), SPATIAL_PREDICATES[:4])
+    """Relations and reports per sequence, damaged so that every rule but those on empty input is broken."""
+    frame, sequence = F.col("raw_frame_index"), F.col("sequence")
+    whole = relations(spark, sf)
+    rels = whole.drop("subject_box").withColumns(
+        {
+            "filename": F.when(frame % 7 != 0, F.col("filename")),
+            "occlusion_mask_supported": F.when(frame % 11 != 3, F.col("occlusion_mask_supported")),
+            "positive_predicates": F.when(
+                frame % 5 == 1, F.concat("positive_predicates", F.array(F.lit("flying")))
+            ).otherwise(F.col("positive_predicates")),
+            "predicate_vector": F.when(frame % 5 == 2, F.slice("predicate_vector", 1, 4)).otherwise(F.col("predicate_vector")),
+        }
+    )
+    order = F.array(*[F.lit(p) for p in SPATIAL_PREDICATES])
+    reports = whole.groupBy("sequence").agg((F.count(F.lit(1)) - 40).alias("relation_candidates")).select(
+        F.when(sequence % 2 == 0, "v2").when(sequence % 3 == 0, "v1").alias("schema_version"),
+        (sequence % 3 != 0).alias("passed"),
+        "relation_candidates",
+        F.when(sequence % 4 == 0, F.reverse(order)).otherwise(order).alias("counted_predicates"),
+        F.when(sequence % 5 == 0, F.reverse(order)).otherwise(order).alias("predicate_order"),
+        F.when(sequence % 7 != 0, F.lit(True)).alias("canonical_inverse"),
+    )
+    written = spatial.write_part(rels, scratch_path(spark, "part"))
+    return written.unionByName(spatial.validate_reports(reports, "v2"))
 
 
 @query
