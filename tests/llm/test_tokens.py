@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -46,6 +47,21 @@ def test_codec_equals_library():
         assert mine.decode(np.array(ids, dtype="<u4")).decode() == known.decode(ids, skip_special_tokens=False)
 
 
+def test_long_pieces_take_time_in_proportion():
+    """One piece of letters without a space, which the plain longest matches don't give."""
+    codec, known = bpe.codec(BYTES), library(BYTES)
+    for text in ("ab" * 3000, "xyzzyq" * 1000, "a" * 5000 + "b", "é" * 3000, "the" * 2000):
+        assert codec.encode(text).tolist() == known.encode(text, add_special_tokens=False).ids
+
+    def spent(n):
+        began = time.process_time()
+        codec.piece("abcabd" * n)
+        return time.process_time() - began
+
+    spent(100)
+    assert spent(80_000) < 8 * spent(20_000) + 0.5
+
+
 def test_full_caches_change_nothing(monkeypatch):
     mine = bpe.Codec(BYTES)
     for cache in (mine.pieces, mine.chunks, mine.spaced, mine.borders):

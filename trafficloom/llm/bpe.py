@@ -83,6 +83,7 @@ class Codec:
             names.append(left + right)
         self.tokens = [bytes(letters[c] for c in name) for name in names]
         self.lengths = [len(t) for t in self.tokens]
+        self.longest = max(self.lengths)
         self.ids = np.array([vocabulary[n] for n in names], dtype="<u4")
         known = {t: i for i, t in enumerate(self.tokens)}
         self.shorter = [next((known[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in known), -1) for t in self.tokens]
@@ -131,12 +132,14 @@ class Codec:
     def piece(self, text: str) -> list[int]:
         """Ranks of the tokens of one piece, given as one letter per byte."""
         size, lengths, borders, shorter, matches = len(text), self.lengths, self.borders, self.shorter, self.automaton.iter_long
+        longest = self.longest
         out: list[int] = []
         dead: set[int] = set()
         at, token, before = 0, -1, -1
         while at < size:
             if token < 0:
-                token = next(matches(text, at))[1]
+                # of a long piece the automaton only gets what a token can cover
+                token = next(matches(text[at : at + longest]))[1]
             while token >= 0:
                 end = at + lengths[token]
                 if end not in dead and (before < 0 or borders[before, token]):

@@ -1,8 +1,9 @@
 """License scans with a positional index of template words.
 
-The templates' words are the index vocabulary; their document counts over all documents give each an IDF. A template is looked
-for in the files that hold all its key phrases: every word of the file is looked up in the postings (template, position), and
-file position minus template position must agree. Places on which enough words agree are compared with the template as a
+Document counts over all documents give every template word an IDF. Of each template the words of highest IDF are indexed, as
+many as it takes for the rest to weigh less than a match needs: whatever stands in a file with enough of a template's weight
+agrees with it on an indexed word. A file's words are looked up in these postings (template, position). File
+position minus template position gives the places where the template could stand; those are compared with the template as a
 whole, and its key phrases must stand there before it gets the label. The base phrases are searched in the whole text besides.
 """
 
@@ -98,31 +99,38 @@ class Index:
         self.totals = [sum(self.idf[w] for w in ws) or 1.0 for ws in self.texts]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, ws in enumerate(self.texts):
-            for at, word in enumerate(ws):
-                self.postings[word].append((t, at))
+            for word in self._rare(t):
+                self.postings[word].extend((t, at) for at, w in enumerate(ws) if w == word)
+
+    def _rare(self, t: int) -> list[bytes]:
+        """The words of highest IDF without which a template keeps less than MIN_SCORE of its weight."""
+        counts, left, out = Counter(self.texts[t]), self.totals[t], []
+        for word in sorted(counts, key=lambda w: (-self.idf[w], w)):
+            # a little more than needed, for sums that are rounded
+            if left < (MIN_SCORE - 1e-9) * self.totals[t]:
+                break
+            out.append(word)
+            left -= counts[word] * self.idf[word]
+        return out
 
     def labelled(self, found: list[bytes]) -> tuple[set[str], float]:
         """Labels of the templates that stand in the words, and the best share of a template's weight."""
-        line = b" " + b" ".join(found) + b" "
-        wanted = {t for t, phrases in enumerate(self.phrases) if all(p in line for p in phrases)}
-        if not wanted:
+        if self.postings.keys().isdisjoint(found):
             return set(), 0.0
-        places = {w: kept for w, ps in self.postings.items() if (kept := [p for p in ps if p[0] in wanted])}
-        votes: Counter[tuple[int, int]] = Counter()
-        for at, word in enumerate(found):
-            if word in places:
-                votes.update((t, at - position) for t, position in places[word])
+        places = {
+            (t, at - position) for at, word in enumerate(found) if word in self.postings for t, position in self.postings[word]
+        }
         labels, best = set(), 0.0
-        for (t, shift), n in votes.items():
-            if n < min(MIN_VOTES, len(self.texts[t])):
-                continue
+        for t, shift in places:
             template = self.texts[t]
             start = max(0, shift)
             window = found[start : max(0, shift + len(template))]
-            agreed = zip(template[start - shift :], window, strict=False)
-            score = min(1.0, sum(self.idf[a] for a, b in agreed if a == b) / self.totals[t])
+            agreed = [a for a, b in zip(template[start - shift :], window, strict=False) if a == b]
+            score = min(1.0, sum(self.idf[a] for a in agreed) / self.totals[t])
+            if score < MIN_SCORE or len(agreed) < min(MIN_VOTES, len(template)):
+                continue
             line = b" " + b" ".join(window) + b" "
-            if score >= MIN_SCORE and all(p in line for p in self.phrases[t]):
+            if all(p in line for p in self.phrases[t]):
                 labels.add(self.labels[t])
                 best = max(best, score)
         return labels, best
@@ -145,9 +153,10 @@ def _base(found: list[bytes], phrases: list[tuple[bytes, str, int]]) -> tuple[li
     line = b" " + b" ".join(found) + b" "
     places, labels = [], set()
     for phrase, label, _ in phrases:
-        at = line.find(phrase)
+        at, counted, before = line.find(phrase), 0, 0
         while at >= 0:
-            places.append(line.count(b" ", 0, at))
+            before, counted = before + line.count(b" ", counted, at), at
+            places.append(before)
             labels.add(label)
             at = line.find(phrase, at + 1)
     return places, labels
