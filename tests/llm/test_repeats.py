@@ -92,9 +92,10 @@ def test_covers_are_those_of_one_array(monkeypatch):
 
     def covered(bound):
         monkeypatch.setattr(repeats, "GROUP_BYTES", bound)
-        covers = repeats._Covers(32)
+        covers, group = repeats._Covers(32), {}
         seen = defaultdict(set)
-        for key, _, a, b in [*covers.add(strings), *covers.rest()]:
+        known = [(k, r, a, a + len(c)) for c, places in strings.items() for p in places for r, k, a in repeats._placed(group, c, p)]
+        for key, _, a, b in [*known, *covers.add(group), *covers.rest()]:
             seen[key] |= set(range(a, b))
         return seen
 

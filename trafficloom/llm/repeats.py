@@ -210,6 +210,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held and part != last:
             yield from pa.concat_tables(held).sort_by("anchor").to_batches(2000)
             held = []
+            pa.default_memory_pool().release_unused()
         held.append(pa.ipc.open_stream(blob).read_all())
         last = part
     if held:
@@ -348,10 +349,25 @@ def _arrays(part: list[tuple], length: int) -> tuple[dict[bytes, list[tuple]], l
 _COLUMNS = ("anchor", "_text_key", "_rank", "start", "content", "size")
 
 
+def _placed(strings: dict[bytes, list[tuple]], content: bytes, place: tuple) -> list[tuple]:
+    """Puts a place (rank, text_key, start) of a string beside the others; gives the places that have a smaller document now.
+
+    Only places of the smallest document are kept, so memory follows the distinct strings.
+    """
+    found = strings.get(content)
+    if found is None or place[0] < found[0][0]:
+        strings[content] = [place]
+        return found or []
+    if place[0] > found[0][0]:
+        return [place]
+    found.append(place)
+    return []
+
+
 class _Covers:
     """Bytes of strings that also stand in a smaller document, as (text_key, rank, start, stop).
 
-    Strings come by anchor, as places (rank, text_key, start) by content. Small groups are gathered into one suffix array; a
+    Strings come by anchor, as places by content (see `_placed`). Small groups are gathered into one suffix array; a
     group above GROUP_BYTES is parted by anchors from longer strings until it is small. Equal windows stay together
     on the way, and a whole window is its own anchor in the end, so nothing is lost and no array is larger.
     """
@@ -363,33 +379,41 @@ class _Covers:
 
     def add(self, strings: dict[bytes, list[tuple]], level: int = 0) -> Iterator[tuple]:
         """What is known already; the rest follows with `rest` or a later group."""
-        least = {}
-        for content, found in strings.items():
-            rank = min(found)[0]
-            yield from ((k, r, a, a + len(content)) for r, k, a in found if r > rank)
-            least[content] = [place for place in found if place[0] == rank]
-        if len(least) < 2:
+        if len(strings) < 2:
             return
-        weight = sum(map(len, least))
+        weight = sum(map(len, strings))
         if weight > GROUP_BYTES and level + 1 < len(self.sizes):
-            for part in self._parted(least, self.sizes[level + 1]):
-                yield from self.add(part, level + 1)
+            yield from self._parted(strings, level + 1)
             return
         if self.weight and self.weight + weight > GROUP_BYTES:
             yield from self.rest()
-        self.held |= least
+        self.held |= strings
         self.weight += weight
 
-    def _parted(self, strings: dict[bytes, list[tuple]], size: int) -> Iterator[dict[bytes, list[tuple]]]:
-        found: dict[int, dict[bytes, list[tuple]]] = {}
-        for content, places in strings.items():
-            values = anchors(content, self.length, size)
-            begins, counts = runs(values)
-            for a, n in zip(begins.tolist(), counts.tolist(), strict=True):
-                part = found.setdefault(int(values[a]), {}).setdefault(content[a : a + n + self.length - 1], [])
-                part.extend((r, k, start + a) for r, k, start in places)
-        while found:
-            yield found.popitem()[1]
+    def _parted(self, strings: dict[bytes, list[tuple]], level: int) -> Iterator[tuple]:
+        """The strings by longer anchors; an anchor that one string only has leads nowhere."""
+        contents = list(strings)
+        found = [anchors(c, self.length, self.sizes[level]) for c in contents]
+        cuts = [runs(values) for values in found]
+        owner = np.repeat(np.arange(len(contents)), [len(b) for b, _ in cuts])
+        value = np.concatenate([v[b] for v, (b, _) in zip(found, cuts, strict=True)])
+        begin, count = (np.concatenate([c[k] for c in cuts]) for k in (0, 1))
+        del found, cuts
+        order = np.lexsort((owner, value))
+        value, owner, begin, count = value[order], owner[order], begin[order], count[order]
+        firsts = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+        lasts = np.append(firsts[1:], len(value)) - 1
+        shared = np.flatnonzero(owner[firsts] != owner[lasts])
+        group: dict[bytes, list[tuple]] = {}
+        for i, j in zip(firsts[shared].tolist(), lasts[shared].tolist(), strict=True):
+            for k in range(i, j + 1):
+                content, a = contents[owner[k]], int(begin[k])
+                part = content[a : a + int(count[k]) + self.length - 1]
+                for rank, key, start in strings[content]:
+                    for r, t, s in _placed(group, part, (rank, key, start + a)):
+                        yield t, r, s, s + len(part)
+            yield from self.add(group, level)
+            group = {}
 
     def rest(self) -> Iterator[tuple]:
         if not self.held:
@@ -428,7 +452,8 @@ def _span_rows(length: int):
                 if anchor != last:
                     yield from covers.add(group)
                     last, group = anchor, {}
-                group.setdefault(content, []).append((rank, text_key, start))
+                for r, k, a in _placed(group, content, (rank, text_key, start)):
+                    yield k, r, a, a + size
             yield from covers.add(group)
             yield from covers.rest()
 
