@@ -1,6 +1,7 @@
 """Links of vectors against all cosines."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trafficloom.llm import embeddings
@@ -65,12 +66,51 @@ def test_null_ids_repeats_and_nothing(spark):
     assert embeddings.near_vectors(df.where("false")).count() == 0
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("dims", [16, 64, 256])
+@pytest.mark.parametrize("rows", [1_000, 1_000_000, 50_000_000])
+def test_recall_at_the_threshold(dims, rows):
+    """Pairs with a cosine of exactly 0.95, in collections of different size."""
+    n = 300 if dims == 256 else 600
     rng = np.random.default_rng(2)
-    x, z = rng.normal(size=(2, 2000, 64))
+    x, z = rng.normal(size=(2, n, dims))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z -= (z * x).sum(axis=1, keepdims=True) * x
     y = 0.95 * x + np.sqrt(1 - 0.95**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    a, b = (embeddings.codes(v, embeddings.TABLES) for v in (x, y))
+    a, b = (embeddings.codes(v, embeddings.TABLES, rows) for v in (x, y))
     met = ((a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)).any(axis=1)
     assert met.mean() >= 0.95
+
+
+def test_chance_meetings_do_not_grow_with_the_collection():
+    """Candidate pairs per vector among random vectors, from 10,000 to 80,000 of them."""
+    met = []
+    for n in (10_000, 20_000, 40_000, 80_000):
+        unit = np.random.default_rng(n).normal(size=(n, 64))
+        found = embeddings.codes(unit / np.linalg.norm(unit, axis=1, keepdims=True), embeddings.TABLES, n)
+        pairs = 0
+        for t in range(found.shape[1]):
+            home, count = np.unique(found[:, t, 0], return_counts=True)
+            probe, probed = np.unique(found[:, t, 1:], return_counts=True)
+            at = np.clip(np.searchsorted(home, probe), 0, len(home) - 1)
+            pairs += (count * (count - 1) // 2).sum() + (count[at] * probed)[home[at] == probe].sum()
+        met.append(pairs / n)
+        hashes, tables = embeddings.shape(64, n, embeddings.TABLES)
+        assert 128**hashes >= n and tables == embeddings.TABLES
+    assert max(met) <= 60 and met[-1] <= met[0] * 1.5, met
+
+
+def test_links_of_a_collection_with_three_hashes(spark, monkeypatch):
+    """The same links when tables are made for many more vectors."""
+    real = embeddings.shape
+    monkeypatch.setattr(embeddings, "shape", lambda dims, rows, tables: real(dims, 1 << 17, tables))
+    rows = clusters(7, [1] * 40 + [30, 12, 5, 5], 0.05)
+    assert embeddings.shape(16, len(rows), 8)[0] == 4
+    unit = np.array([np.array(v) / np.linalg.norm(v) for _, v, *_ in rows])
+    batches = [pa.record_batch({"class_no": pa.array(range(len(rows))), "vector": pa.array([u.tobytes() for u in unit], pa.binary())})]
+    buckets = pa.Table.from_batches(embeddings._bucketed(8, len(rows))(iter(batches))).to_pandas()
+    want = {(i, j) for i in range(len(rows)) for j in range(i) if unit[i] @ unit[j] >= 0.95}
+    found = set()
+    for _, group in buckets.groupby("bucket"):
+        home = set(group.class_no[group.home])
+        found |= {(max(i, j), min(i, j)) for i in home for j in group.class_no if i != j}
+    assert len(want & found) >= 0.99 * len(want)
