@@ -1,5 +1,6 @@
 """Ordinal regression: the fit, held-out accuracy, odd input."""
 
+import math
 import os
 from pathlib import Path
 
@@ -53,6 +54,27 @@ def test_scores(spark):
     assert kept.schema == df.schema and kept.count() == sum(not r["rejected"] for r in out)
 
 
+def test_severity_and_grade_by_hand(spark):
+    """Probabilities from the model's own weights and thresholds, counts from the words one by one."""
+    model = toxicity.Model({b"vile": 1.5, b"^awfull": 0.7, b"awfully": 0.4, b"calm": -1.0}, (1.0, 4.0))
+    texts = ["", None, "vile", "vile vile VILE", "awfully awfulness awfully", "calm vile", "vile awfully " * 30, "calm " * 9, "vile vile awfully"]
+    told = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    grades = set()
+    for i, text in enumerate(texts):
+        words = (text or "").lower().split()
+        counts = {b"vile": words.count("vile"), b"awfully": words.count("awfully"), b"calm": words.count("calm")}
+        counts[b"^awfull"] = sum(len(w) >= 6 and w[:6] == "awfull" for w in words)
+        line = sum(model.weights[f] * math.log1p(n) for f, n in counts.items())
+        cut = [1 / (1 + math.exp(line - c)) for c in (1.0, 4.0)]
+        p = [cut[0], cut[1] - cut[0], 1 - cut[1]]
+        assert told[i]["expected_severity"] == pytest.approx(p[1] + 2 * p[2])
+        assert told[i]["rejected"] == (p[0] < 0.5) == (told[i]["grade"] > 0)
+        if p[0] < 0.5:
+            assert told[i]["grade"] == (1 if p[1] >= p[2] else 2)
+        grades.add(told[i]["grade"])
+    assert grades == {0, 1, 2}
+
+
 def test_without_examples(spark):
     df = spark.createDataFrame(rows(20)[0], SCHEMA)
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")

@@ -202,9 +202,10 @@ def fit(
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, expected_severity, grade, rejected), one row per row of `docs`; grade is the likeliest one.
+    """(doc_id, expected_severity, grade, rejected), one row per row of `docs`.
 
-    A document is rejected when it is likelier to be toxic in some grade than not. Null text has no words and gets the
+    A document is rejected when it is likelier to be toxic in some grade than not; its grade is then the likeliest one above 0,
+    and 0 otherwise. Null text has no words and gets the
     severity of a text without markers. Null ids and repeated rows are scored like any other; an empty table gives none.
     """
 
@@ -212,7 +213,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         def rows() -> Iterator[tuple]:
             for doc_id, text in rows_of(batches, "doc_id", "text"):
                 p = model.grades(words(text))
-                yield doc_id, float(p @ np.arange(len(p))), int(np.argmax(p)), bool(p[0] < 0.5)
+                grade = 0 if p[0] >= 0.5 else 1 + int(np.argmax(p[1:]))
+                yield doc_id, float(p @ np.arange(len(p))), grade, grade > 0
 
         return emitted(_SCORES, rows())
 
