@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from trafficloom.operators import matching, recovery, review, timeline
+from trafficloom.operators import matching, observations, recovery, review, timeline
 from trafficloom.params import CHANNELS
 from trafficloom.plans.components import components
 from trafficloom.plans.lookup import lookup
@@ -158,3 +158,27 @@ def test_a_reviewers_last_decision_counts(spark):
     df = spark.createDataFrame(given, "kind string, relation_id long, reviewer string, decision boolean, order int")
     out = {r["relation_id"]: (r["complete"], r["unanimous"]) for r in review.agreement_items(df).collect()}
     assert out == {1: (True, True), 2: (False, False)}
+
+
+def test_large_boxes_lie_in_coarse_grids(spark):
+    """One box of a kilometre among many small ones: few cells each, and the same points as by comparison."""
+    rnd = random.Random(12)
+    boxes = [("s", "large", -400.0, 620.0, -500.0, 480.0, -1.0, 1.0), ("s", "flat", 3.0, 3.0, 0.0, 64.0, 0.0, 0.0)]
+    for i in range(60):
+        x, y, w = rnd.uniform(-30, 30), rnd.uniform(-30, 30), rnd.choice([0.5, 3.9, 4.0, 7.99, 8.0, 30.0])
+        boxes.append((rnd.choice("st"), f"b{i}", x, x + w, y, y + w / 2, -0.5, 0.5))
+    boxes.append(("t", "none", None, 1.0, 0.0, 1.0, 0.0, 1.0))
+    points = [(rnd.choice("st"), i, rnd.choice([rnd.uniform(-40, 40), 4.0, -8.0]), rnd.uniform(-40, 40), rnd.uniform(-0.6, 0.6)) for i in range(500)]
+    points += [("s", 900, 620.0005, 0.0, 0.0), ("s", 901, 3.0, 64.0, 0.0), ("s", 902, -400.002, 0.0, 0.0)]
+    df = spark.createDataFrame(boxes, "sample_token string, token string, min_x double, max_x double, min_y double, max_y double, min_z double, max_z double")
+    cells = {r["token"]: r["count"] for r in observations.box_cells(df, 1e-3, 4.0).groupBy("token").count().collect()}
+    assert max(cells.values()) <= 9 and set(cells) == {b[1] for b in boxes} - {"none"}
+    found = observations.object_points(spark.createDataFrame(points, "sample_token string, point_id long, x double, y double, z double"), df)
+    got = {(r["token"], r["point_id"]) for r in found.collect()}
+    want = {
+        (b[1], p[1])
+        for b in boxes if b[2] is not None
+        for p in points
+        if b[0] == p[0] and all(b[2 + 2 * k] - 1e-3 <= p[2 + k] <= b[3 + 2 * k] + 1e-3 for k in range(3))
+    }
+    assert got == want and ("large", 900) in got and ("flat", 901) in got

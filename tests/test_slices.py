@@ -77,3 +77,21 @@ def test_one_slice_is_the_plain_average_precision(spark):
     b = {(r["set"], r["predicate"]): r["average_precision"] for r in other.collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-12) for k in a)
     assert evaluation.sliced_average_precision(df.where("false"), ["set"], [whole]).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1000, 5])
+def test_recall_of_first_ranks_in_one_step_and_in_two(spark, monkeypatch, limit):
+    monkeypatch.setattr(evaluation, "RANK_LIMIT", limit)
+    rnd = random.Random(11)
+    data = [(i, f"g{rnd.randrange(3)}", rnd.random() < 0.9, [rnd.choice([-1.0, 0.0, 2.0, rnd.random()]) for _ in range(2)], [int(rnd.random() < 0.4) for _ in range(2)]) for i in range(200)]
+    df = spark.createDataFrame(data, "relation_id long, group_id string, available boolean, logits array<double>, targets array<int>")
+    found = {(r["k"], r["name"]): r["recall"] for r in evaluation.recall_at_k(df, ["near", "far"], (3, 20)).collect()}
+    support = [sum(t[p] for *_, t in data) for p in (0, 1)]
+    for k in (3, 20):
+        hits = [0, 0]
+        for group in {g for _, g, *_ in data}:
+            ranked = sorted((-score, i, p, t[p]) for i, g, a, logits, t in data if g == group and a for p, score in enumerate(logits))
+            for _, _, p, t in ranked[:k]:
+                hits[p] += t
+        assert found[k, "R"] == pytest.approx(sum(hits) / sum(support))
+        assert [found[k, n] for n in ("near", "far")] == pytest.approx([h / s for h, s in zip(hits, support, strict=True)])

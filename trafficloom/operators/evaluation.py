@@ -24,6 +24,8 @@ from trafficloom.operators.checks import required
 from trafficloom.plans.ordered import PIECE, range_pieces, running_totals
 
 UNAVAILABLE_LOGIT = -20.0
+RANK_LIMIT = 1000
+PARTS = 64
 
 
 def to_long(predictions: DataFrame, predicates: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -285,16 +287,21 @@ def recall_at_k(
 
     All (relation, predicate) pairs of a group are ranked together, ties by relation and predicate.
     Unavailable relations cannot be ranked but stay in the denominator. Only the first max(ks) ranks of a
-    group are kept, a limit Spark applies before the shuffle, so a large group costs its task no more than
-    its first ranks.
+    group are kept. Up to RANK_LIMIT ranks Spark applies this limit before the shuffle; beyond, the first ranks of
+    hashed parts of a group are taken first, so a large group costs no task more than PARTS times its first ranks.
     """
-    long = to_long(predictions, predicates, ["group_id", "available"])
-    over = Window.partitionBy("group_id").orderBy(F.col("score").desc(), "relation_id", "predicate_index")
-    ranked = (
-        long.where("available")
-        .select("group_id", "relation_id", "predicate_index", "predicate", "score", "target", F.row_number().over(over).alias("rank"))
-        .where(F.col("rank") <= max(ks))
+    order = [F.col("score").desc(), F.col("relation_id"), F.col("predicate_index")]
+    leading = (
+        to_long(predictions, predicates, ["group_id", "available"])
+        .where("available")
+        .select("group_id", "relation_id", "predicate_index", "predicate", "score", "target")
     )
+    if max(ks) > RANK_LIMIT:
+        parted = leading.withColumn("_part", F.pmod(F.xxhash64("relation_id"), F.lit(PARTS)))
+        inside = Window.partitionBy("group_id", "_part").orderBy(*order)
+        leading = parted.withColumn("_at", F.row_number().over(inside)).where(F.col("_at") <= max(ks)).drop("_at", "_part")
+    over = Window.partitionBy("group_id").orderBy(*order)
+    ranked = leading.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= max(ks))
     found = ranked.where("target = 1").groupBy("predicate").agg(
         *[count_where(F.col("rank") <= k).alias(f"at{k}") for k in ks]
     )

@@ -151,29 +151,46 @@ def project_box(
     return bounded.withColumns(sized).drop("_front", "_pixels", "_x1", "_y1", "_x2", "_y2")
 
 
+def leveled(boxes: DataFrame, tolerance: float, cell: float) -> DataFrame:
+    """Boxes with the `_level` of the grid they lie in; boxes without bounds are left out."""
+    wide = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")) + 2 * tolerance
+    level = F.when(wide > cell, F.ceil(F.log2(wide / cell))).otherwise(0).cast("int")
+    return boxes.withColumn("_level", F.when(wide.isNotNull() & ~F.isnan(wide), level)).where("_level IS NOT NULL")
+
+
+def box_cells(boxes: DataFrame, tolerance: float, cell: float) -> DataFrame:
+    """Boxes once per cell (_level, _cx, _cy) they touch, widened by the tolerance."""
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
+
+    def cells(axis: str) -> Column:
+        first, last = (F.floor((F.col(f"{s}_{axis}") + d) / size).cast("long") for s, d in (("min", -tolerance), ("max", tolerance)))
+        return F.explode(F.sequence(first, last))
+
+    known = leveled(boxes, tolerance, cell).where("min_x <= max_x AND min_y <= max_y")
+    return known.withColumn("_cx", cells("x")).withColumn("_cy", cells("y"))
+
+
 def object_points(
     points: DataFrame, boxes: DataFrame, tolerance: float = BOX_TOLERANCE, cell: float = 4.0, rotated: bool = False
 ) -> DataFrame:
     """Points inside boxes of their sample: (token, point_id, x, y, z).
 
     Boxes have bounds min_x..max_z in the points' frame; `rotated` ones also `local_from_ego` and the local
-    bounds local_min_x..local_max_z, which then decide. Boxes and points meet in grid cells.
+    bounds local_min_x..local_max_z, which then decide. Boxes and points meet in grid cells, in grids of several levels:
+    a box lies in the one whose cells, `cell` times a power of two, are at least as wide as it is, where it touches four
+    cells or a few more at their edges. A point is looked up once in every level that boxes use.
     """
-
-    def at(value: Column) -> Column:
-        return F.floor(value / cell).cast("long")
-
-    def cells(axis: str) -> Column:
-        reach = F.lit(tolerance)
-        return F.explode(F.sequence(at(F.col(f"min_{axis}") - reach), at(F.col(f"max_{axis}") + reach)))
-
     bounds = [f"{s}_{a}" for a in "xyz" for s in ("min", "max")]
     local = ["local_from_ego", *[f"local_{b}" for b in bounds]] if rotated else []
-    placed = points.select(
-        "sample_token", "point_id", "x", "y", "z", at(F.col("x")).alias("_cx"), at(F.col("y")).alias("_cy")
+    spread = box_cells(boxes, tolerance, cell).select("sample_token", "token", *bounds, *local, "_level", "_cx", "_cy")
+    # one row; there are no more levels than powers of two between the smallest box and the largest
+    used = leveled(boxes, tolerance, cell).agg(F.collect_set("_level").alias("_levels"))
+    placed = points.crossJoin(F.broadcast(used)).select(
+        "sample_token", "point_id", "x", "y", "z", F.explode("_levels").alias("_level")
     )
-    spread = boxes.select("sample_token", "token", *bounds, *local).withColumn("_cx", cells("x")).withColumn("_cy", cells("y"))
-    met = balanced_join(placed, spread, ["sample_token", "_cx", "_cy"], ["point_id"], ["token"])
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
+    placed = placed.withColumns({f"_c{a}": F.floor(F.col(a) / size).cast("long") for a in "xy"})
+    met = balanced_join(placed, spread, ["sample_token", "_level", "_cx", "_cy"], ["point_id"], ["token"])
     place = rigid.apply(F.col("local_from_ego"), F.col("x"), F.col("y"), F.col("z")) if rotated else [F.col(a) for a in "xyz"]
     prefix = "local_" if rotated else ""
     inside = all_of(
