@@ -42,4 +42,11 @@ FROM obs WHERE user_id % 11 <> 0"""
         """SELECT (raw_frame_index >= 15)::BIGINT AS batch, sequence, count(*) AS rows, count(DISTINCT token) AS tokens, count(*) FILTER (WHERE near) AS near
 FROM sp_rel GROUP BY ALL"""
     ),
+    "ingest_frames": sql(
+        """WITH one AS (SELECT sequence, token, raw_frame_index FROM sp_rel WHERE (raw_frame_index >= 15) = (sequence % 2 = 0)),
+last AS (SELECT sequence, max(raw_frame_index) AS f FROM one GROUP BY sequence),
+two AS (SELECT r.sequence, r.token, r.raw_frame_index FROM sp_rel r LEFT JOIN last USING (sequence) WHERE f IS NULL OR r.raw_frame_index > f)
+SELECT batch, sequence, count(*) AS rows, count(DISTINCT token) AS tokens, max(raw_frame_index) AS last_frame
+FROM (SELECT 0::BIGINT AS batch, * FROM one UNION ALL SELECT 1::BIGINT, * FROM two) GROUP BY ALL"""
+    ),
 }

@@ -174,3 +174,45 @@ def test_the_last_sound_line_of_a_key_wins(spark, tmp_path):
     last = {(r["path"][-5], r["key"]): r["numbers"] for r in readers.keyed_numbers(lines, order="line").collect()}
     assert last == {("a", "P0"): [7.0], ("a", "P1"): [3.0], ("b", "P0"): [8.0], ("b", "P1"): []}
     assert readers.keyed_numbers(lines).count() == 6
+
+
+def frames(spark, path, *rows):
+    spark.createDataFrame(rows, "sequence string, frame long, value string").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_frames_are_taken_once_and_only_when_new(spark, tmp_path):
+    from trafficloom.streaming import ingest
+
+    inbox, target, state = (str(tmp_path / n) for n in ("inbox", "target", "state"))
+    schema = spark.createDataFrame([], "sequence string, frame long, value string").schema
+
+    def deliver(name, *rows):
+        frames(spark, f"{inbox}/{name}", *rows)
+        ingest.ingest_frames(spark, f"{inbox}/*", schema, target, state)
+
+    deliver("a", ("s", 3, "x"), ("s", 3, "y"), ("s", 5, "z"), ("t", 1, "t1"), (None, 2, "n"), ("t", None, "lost"))
+    deliver("b", ("s", 4, "late"), ("s", 5, "again"), ("s", 6, "new"), ("t", 9, "t9"), ("u", -1, "u"), (None, 2, "again"), (None, 3, "n3"))
+    deliver("c", ("s", 6, "again"))
+    found = {(r["sequence"], r["frame"], r["value"], r[ingest.BATCH]) for r in ingest.committed(spark, target).collect()}
+    assert found == {("s", 3, "x", 0), ("s", 3, "y", 0), ("s", 5, "z", 0), ("t", 1, "t1", 0), (None, 2, "n", 0), ("s", 6, "new", 1), ("t", 9, "t9", 1), ("u", -1, "u", 1), (None, 3, "n3", 1)}
+
+
+def test_what_a_failed_batch_wrote_is_not_seen(spark, tmp_path):
+    from trafficloom.streaming import ingest
+
+    inbox, target, state = (str(tmp_path / n) for n in ("inbox", "target", "state"))
+    schema = spark.createDataFrame([], "sequence string, frame long, value string").schema
+    frames(spark, f"{inbox}/a", ("s", 1, "one"))
+    ingest.ingest_frames(spark, f"{inbox}/*", schema, target, state)
+    frames(spark, f"{inbox}/b", ("s", 2, "two"), ("s", 1, "again"))
+
+    def written_then_lost(rows):
+        rows.write.parquet(f"{target}/{ingest.BATCH}=1")
+        raise RuntimeError("executor gone")
+
+    with pytest.raises(Exception, match="executor gone"):
+        ingest.ingest_frames(spark, f"{inbox}/*", schema, target, state, transform=written_then_lost)
+    assert ingest.ingested(spark, target).count() == 2
+    assert [r["value"] for r in ingest.committed(spark, target).collect()] == ["one"]
+    ingest.ingest_frames(spark, f"{inbox}/*", schema, target, state)
+    assert sorted(r["value"] for r in ingest.committed(spark, target).collect()) == ["one", "two"]

@@ -267,3 +267,17 @@ def ingest_incremental(spark, sf):
     return ingest.ingested(spark, target).groupBy(F.col(ingest.BATCH).cast("long").alias("batch"), "sequence").agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("token").alias("tokens"), F.sum(F.col("near").cast("long")).alias("near")
     )
+
+
+@query
+def ingest_frames(spark, sf):
+    """Relations of which even sequences first deliver their later frames, then every row comes again, and once more."""
+    rels = spatial_queries.relations(spark, sf).select("token", "sequence", "raw_frame_index", "near")
+    inbox, target, state = (scratch_path(spark, n) for n in ("inbox", "target", "state"))
+    late = F.when(F.col("sequence") % 2 == 0, F.col("raw_frame_index") >= 15).otherwise(F.col("raw_frame_index") < 15)
+    for name, part in (("first", rels.where(late)), ("second", rels), ("third", rels)):
+        part.write.parquet(f"{inbox}/{name}")
+        ingest.ingest_frames(spark, f"{inbox}/*", rels.schema, target, state, frame="raw_frame_index")
+    return ingest.committed(spark, target).groupBy(F.col(ingest.BATCH).cast("long").alias("batch"), "sequence").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("token").alias("tokens"), F.max("raw_frame_index").alias("last_frame")
+    )
