@@ -71,3 +71,23 @@ def test_conversation_that_only_holds_starts(spark):
     (read,) = chat.read_back(chat.format_conversations(df)).collect()
     assert (read["n_turns"], read["loss_chars"]) == (2, len(rows[1][3]))
     assert read["formatted_chars"] == sum(24 + len(role) + len(text) + 1 for _, _, role, text in rows)
+
+
+def test_sql_follows_the_grammar(spark):
+    """The oracle on turns that hold every mark, in roles as well."""
+    import duckdb
+
+    from trafficloom.llm.registry import oracle_sql
+
+    roles, texts = strings(400, 7), strings(400, 8)
+    rows = [(k % 9, k, r, t) for k, (r, t) in enumerate(zip(roles, texts, strict=True))]
+    rows += [(20, 0, "user", "<|im_start|>"), (20, 1, "us\ner", "x"), (20, 2, "<|nl|>", None), (20, 3, None, "<\\|"), (20, 4, "assistant", "<|im_end|>")]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    rel = con.sql(oracle_sql()["op9_chat_formatting"])
+    want = {r[0]: dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()}
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.read_back(chat.format_conversations(df)).collect():
+        assert r.asDict() == want[r["conv_id"]]
+    assert len(want) == 11

@@ -152,15 +152,18 @@ WITH t AS (
   UNION ALL
   SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) r(i)
 ), e AS (
-  SELECT *, CASE WHEN contains(text, '<|im_end|>') OR regexp_matches(text, '<\\+\|')
-    THEN regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') ELSE text END AS shown FROM t
+  SELECT *, CASE WHEN contains(text, '<|im_start|>') OR contains(text, '<|im_end|>') OR regexp_matches(text, '<\\+\|')
+    THEN regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') ELSE text END AS shown,
+  CASE WHEN contains(role, '<|im_start|>') OR contains(role, '<|im_end|>') OR contains(role, '<|nl|>') OR contains(role, chr(10))
+      OR regexp_matches(role, '<\\+\|')
+    THEN replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), chr(10), '<|nl|>') ELSE role END AS name FROM t
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), ''))
     AS loss_sha256,
-  CAST(sum(24 + length(role) + length(shown)) AS BIGINT) AS formatted_chars
+  CAST(sum(24 + length(name) + length(shown)) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
 
