@@ -141,4 +141,13 @@ UNION ALL SELECT 'error', 'inconsistent_duplicates', count(*) FROM (SELECT relat
     "vw_display_ids": sql(
         """SELECT sequence, frame, key, 'O' || row_number() OVER (PARTITION BY sequence, frame ORDER BY x1 IS NULL, x1, label, key) AS display_id FROM fob"""
     ),
+    "vw_frame_document": sql(
+        f"""WITH ent AS (
+  SELECT sequence, frame, 'object' AS kind, key,
+    concat_ws(' ', 'O' || row_number() OVER (PARTITION BY sequence, frame ORDER BY x1 IS NULL, x1, label, key), label) AS shown, x1 AS measure FROM fob
+  UNION ALL SELECT sequence, frame, kind, relation_id, concat_ws(' ', si, oi, predicates), radial_speed FROM frel
+), num AS (SELECT *, (row_number() OVER (PARTITION BY sequence, frame ORDER BY kind, key) - 1) // 500 AS part FROM ent)
+SELECT sequence, frame, part, kind, row_number() OVER (PARTITION BY sequence, frame, part, kind ORDER BY key) - 1 AS position,
+  key, shown, {r6('measure', 'measure')} FROM num"""
+    ),
 }

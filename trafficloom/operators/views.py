@@ -184,3 +184,26 @@ def frame_document(objects: DataFrame, relations: DataFrame, part_rows: int = 40
         *[F.size(f"_{k}").cast("long").alias(n) for k, n in (("object", "objects"), ("spatial", "spatial"), ("temporal", "temporal"))],
         F.to_json(body).alias("document"),
     )
+
+
+_OBJECT = "struct<display_id:string,key:string,label:string,box:array<double>>"
+_RELATION = (
+    "struct<relation_id:string,subject_instance:string,object_instance:string,predicates:array<string>,radial_speed:double>"
+)
+_DOCUMENT = f"objects array<{_OBJECT}>, spatial array<{_RELATION}>, temporal array<{_RELATION}>"
+
+
+def frame_entries(documents: DataFrame) -> DataFrame:
+    """The entries of frame documents read back, one row each: kind, position in its list, object or relation."""
+    read = documents.select(*FRAME, "part", F.from_json("document", _DOCUMENT, {"mode": "FAILFAST"}).alias("_d"))
+
+    def of(name: str, kind: str, column: str) -> DataFrame:
+        return read.select(
+            *FRAME, "part", F.lit(kind).alias("kind"), F.posexplode(f"_d.{name}").alias("position", column)
+        )
+
+    return (
+        of("objects", "object", "object")
+        .unionByName(of("spatial", "spatial", "relation"), allowMissingColumns=True)
+        .unionByName(of("temporal", "temporal", "relation"), allowMissingColumns=True)
+    )

@@ -224,6 +224,20 @@ def vw_display_ids(spark, sf):
 
 @query
 def vw_frame_document(spark, sf):
+    """The documents of all frames, read back from their JSON entry by entry."""
     relations = pin(_relations(spark, sf))
     objects = views.frame_objects(tables.observations(spark, sf), relations)
-    return views.frame_document(objects, relations, part_rows=500)
+    entries = views.frame_entries(views.frame_document(objects, relations, part_rows=500))
+    is_object, o, r = F.col("kind") == "object", F.col("object"), F.col("relation")
+    return entries.select(
+        "sequence",
+        "frame",
+        "part",
+        "kind",
+        F.col("position").cast("long").alias("position"),
+        F.coalesce(o["key"], r["relation_id"]).alias("key"),
+        F.when(is_object, F.concat_ws(" ", o["display_id"], o["label"]))
+        .otherwise(F.concat_ws(" ", r["subject_instance"], r["object_instance"], F.array_join(r["predicates"], ",")))
+        .alias("shown"),
+        r6(F.when(is_object, F.get(o["box"], F.lit(0))).otherwise(r["radial_speed"]), "measure"),
+    )
