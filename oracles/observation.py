@@ -147,4 +147,14 @@ UNION ALL SELECT 'lidar_usable', count(*) FROM usb WHERE lidar_usable UNION ALL
     "ob_fixed_sample": sql(
         f"""SELECT token, point_id, position::INT AS position, {', '.join(r6(f'{a} - avg({a}) OVER (PARTITION BY token)', a) for a in 'xyz')} FROM drw"""
     ),
+    "ob_normals": sql(
+        f"""WITH mid AS (SELECT token, position, {', '.join(f'{a} - avg({a}) OVER (PARTITION BY token) AS {a}' for a in 'xyz')} FROM drw),
+near AS (SELECT a.token, a.position, b.x, b.y, b.z, row_number() OVER (PARTITION BY a.token, a.position
+    ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.position) AS r FROM mid a JOIN mid b ON b.token = a.token),
+edge AS (SELECT token, position, {', '.join(f'max({a}) FILTER (r = {k}) - max({a}) FILTER (r = 1) AS {a}{k}' for k in (2, 3) for a in 'xyz')}
+  FROM near GROUP BY token, position),
+nrm AS (SELECT token, position, y2*z3 - z2*y3 AS x, z2*x3 - x2*z3 AS y, x2*y3 - y2*x3 AS z FROM edge),
+len AS (SELECT *, x*x + y*y + z*z AS s FROM nrm)
+SELECT token, position::INT AS position, {', '.join(r6(f'CASE WHEN s > 1e-9 THEN {a}*{b}/s END', f'n{a}{b}') for a, b in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))}, true AS outward FROM len"""
+    ),
 }

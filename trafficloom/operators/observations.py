@@ -355,31 +355,35 @@ def fixed_sample(hits: DataFrame, count: int = 128, minimum: int = 10) -> DataFr
 
 
 def normals(sampled: DataFrame, neighbours: int = 12) -> DataFrame:
-    """Surface normal per sampled point: direction of least spread among its nearest neighbours.
+    """Surface normal per sampled point: direction of least spread among its nearest neighbours, pointing away from the origin.
 
-    Groups are the sampled points of one object, a fixed number each.
+    Groups are the sampled points of one object, a fixed number each; of equally near points those of lower position count.
+    `breadth` is the spread in the second least direction: where it is zero, the neighbours lie on a line (or are one point) and any
+    direction across it will do.
     """
 
     def of_object(table: pa.Table) -> pa.Table:
+        table = table.sort_by("position")
         xyz = np.column_stack([table.column(a).to_numpy() for a in "xyz"])
-        found = np.zeros_like(xyz)
+        found, breadth = np.zeros_like(xyz), np.zeros(len(xyz))
         if len(xyz) >= 3:
             gaps = ((xyz[:, None, :] - xyz[None, :, :]) ** 2).sum(axis=-1)
             nearest = np.argsort(gaps, axis=1, kind="stable")[:, : min(neighbours, len(xyz))]
             local = xyz[nearest]
             local = local - local.mean(axis=1, keepdims=True)
             spread = np.einsum("nki,nkj->nij", local, local) / max(local.shape[1] - 1, 1)
-            direction = np.linalg.eigh(spread)[1][:, :, 0]
+            sizes, directions = np.linalg.eigh(spread)
+            direction, breadth = directions[:, :, 0], np.maximum(sizes[:, 1], 0.0)
             outward = np.where((direction * xyz).sum(axis=1, keepdims=True) < 0, -1.0, 1.0)
             found = direction * outward
             found = found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-8)
         result = table.select(["token", "position"])
         for i, name in enumerate(("nx", "ny", "nz")):
             result = result.append_column(name, pa.array(found[:, i]))
-        return result
+        return result.append_column("breadth", pa.array(breadth))
 
     return sampled.select("token", "position", "x", "y", "z").groupBy("token").applyInArrow(
-        of_object, "token string, position int, nx double, ny double, nz double"
+        of_object, "token string, position int, nx double, ny double, nz double, breadth double"
     )
 
 

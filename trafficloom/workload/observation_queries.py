@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trafficloom.functions import rigid
 from trafficloom.operators import observations as ob
 from trafficloom.params import CHANNELS
+from trafficloom.plans.pinning import pin
 from trafficloom.workload import tables, timeline_queries
 from trafficloom.workload.common import r6, registry, rounded
 
@@ -227,4 +228,12 @@ def ob_fixed_sample(spark, sf):
 
 @query
 def ob_normals(spark, sf):
-    return ob.normals(_sampled(spark, sf), neighbours=3).select("token", "position", r6("nx"), r6("ny"), r6("nz"))
+    """Normals of planes through three points: products of their components, which have no sign, where the plane is determined."""
+    sampled = pin(_sampled(spark, sf))
+    found = ob.normals(sampled, neighbours=3).join(sampled.select("token", "position", "x", "y", "z"), ["token", "position"])
+    known = F.col("breadth") > 1e-9
+    products = [
+        r6(F.when(known, F.col(f"n{a}") * F.col(f"n{b}")), f"n{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")
+    ]
+    outward = sum((F.col(f"n{a}") * F.col(a) for a in "xyz"), F.lit(0.0)) >= -1e-9
+    return found.select("token", "position", *products, outward.alias("outward"))
