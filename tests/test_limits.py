@@ -182,3 +182,18 @@ def test_large_boxes_lie_in_coarse_grids(spark):
         if b[0] == p[0] and all(b[2 + 2 * k] - 1e-3 <= p[2 + k] <= b[3 + 2 * k] + 1e-3 for k in range(3))
     }
     assert got == want and ("large", 900) in got and ("flat", 901) in got
+
+
+def test_budget_takes_equal_priorities_by_sequence(spark):
+    files = [(s, f"{s}/{k}", 10) for s in range(6) for k in range(2)] + [(5, "0/0", 10)]
+    priority = [(0, 1), (1, 0), (2, 1), (3, 0), (4, 2), (5, 0)]
+    chosen = timeline.budget_prefix(
+        spark.createDataFrame(files, "sequence long, path string, size long"), spark.createDataFrame(priority, "sequence long, priority long"), 75
+    )
+    found = {r["sequence"]: (r["bytes"], r["cumulative_bytes"]) for r in chosen.collect()}
+    # the shared file counts for sequence 5, which comes before sequence 0
+    assert found == {1: (20, 20), 3: (20, 40), 5: (30, 70), 0: (10, 80)}
+    with pytest.raises(Exception, match="never reached"):
+        timeline.budget_prefix(
+            spark.createDataFrame(files, "sequence long, path string, size long"), spark.createDataFrame(priority, "sequence long, priority long"), 1000
+        ).collect()
